@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provisio.runtime import cut
+from provisio.runtime import cut, over_salts, with_salt
 
 CODEWORDS = 16
 SUB = 2
+SALTS = 8
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -231,11 +232,12 @@ def nearest(
     hits = both.groupBy("_cell", "_m", "_q").applyInArrow(search, f"_id {kind}, _other {kind}, _sim double")
     best = Window.partitionBy("_id").orderBy(F.desc("_sim"), "_other")
     found = hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-    # further copies of a vector: their neighbours are its first ones
-    copies = unit.select("_id", "_s1", "_s2").withColumn("_copy", F.row_number().over(order))
-    # a hot vector's copies are many, the first k of them few
-    first = copies.filter(F.col("_copy") <= k).select("_s1", "_s2", F.col("_id").alias("_other"), F.col("_copy").alias("place"))
-    rest = copies.filter(F.col("_copy") > k + 1).join(first, ["_s1", "_s2"]).select("_id", "_other", F.lit(1.0).alias("_sim"), "place")
+    # further copies of a vector, those after the last one kept: their neighbours are its first ones
+    full = kept.groupBy("_s1", "_s2").agg(F.max("_copy").alias("_most"), F.max("_id").alias("_last")).filter(F.col("_most") == k + 1)
+    first = kept.filter(F.col("_copy") <= k).select("_s1", "_s2", F.col("_id").alias("_other"), F.col("_copy").alias("place"))
+    lists = over_salts(full.join(first, ["_s1", "_s2"]).select("_s1", "_s2", "_last", "_other", "place"), SALTS)
+    rest = with_salt(unit.select("_id", "_s1", "_s2"), "_id", SALTS).join(lists, ["_s1", "_s2", "_salt"]).filter(F.col("_id") > F.col("_last"))
+    rest = rest.select("_id", "_other", F.lit(1.0).alias("_sim"), "place").filter(F.lit(1.0) >= least)
     out = found.select("_id", "_other", "_sim", "place").unionByName(rest)
     return out.select(F.col("_id").alias(id_col), F.col("_other").alias("neighbour"), F.col("_sim").alias("similarity"), "place")
 
