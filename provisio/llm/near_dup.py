@@ -34,6 +34,8 @@ from provisio.runtime import broadcast_if_small, cut
 PART_BITS = 3
 GROUPS = 1 << PART_BITS
 MOST_MATCHES = 4
+#: Cells that a text of usual length goes to in each part.
+CELLS_OF_A_TEXT = 6
 #: Cost of a candidate relative to that of an entry met.
 CANDIDATE_COST = 2.0
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -200,7 +202,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, group_col: str | None) -
 
 def similar_texts(
     docs: DataFrame, *, id_col: str, text_col: str, group_col: str | None = None, shingle: int = 5, num: int = 4, den: int = 5,
-    cell_docs: int = 250_000, buffer_chars: int = 12_000_000,
+    cell_docs: int = 250_000, buffer_chars: int = 8_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of texts of one group whose shingle sets have a Jaccard similarity of num/den or more.
 
@@ -208,7 +210,9 @@ def similar_texts(
     ids that carry each text; copies of a text share a key.
     """
     keyed = _keyed(docs, id_col, text_col, group_col)
-    cells = max(1, -(-docs.count() // cell_docs))
+    total = docs.count()
+    # a text goes to several cells of a part once there are several
+    cells = 1 if total <= cell_docs else -(-total * CELLS_OF_A_TEXT // cell_docs)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, groups, texts, chars, seen = [], [], [], 0, set()

@@ -6,7 +6,9 @@ hash the distinct documents are counted; a line counts as site matter when at le
 joined back to the documents, which are rebuilt without them.
 
 Two 64-bit hashes of a line stand for it. Null texts have no lines; a null url, or one without
-http(s), has no site, so its lines are never removed. Rows of one id count as one document.
+http(s), has no site, so its lines are never removed; rows
+without an id are kept as they are. Rows of one id count as one document. Columns named
+``clean_text`` or ``lines_removed`` are replaced.
 Counting runs over (site, line, document) first, so a line that a whole site carries is never
 gathered in one task; the join back is salted by document.
 """
@@ -38,7 +40,7 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str, url_col: str, mi
     lines = F.split(F.col(text_col), "\n", -1)
     return (
         docs.select(F.col(id_col).alias("_id"), site_of(F.col(url_col)).alias("_site"), F.posexplode(lines).alias("_n", "_line"))
-        .filter(F.col("_site").isNotNull())
+        .filter(F.col("_site").isNotNull() & F.col("_id").isNotNull())
         .select("_id", "_site", (F.col("_n") + 1).alias("_no"), line_key(F.col("_line")).alias("_key"))
         .filter(F.length("_key") >= min_letters)
         .select("_id", "_no", F.xxhash64("_site", "_key").alias("_h1"), F.hash("_key").alias("_h2"), "_site")
@@ -74,10 +76,10 @@ def without_repeated_lines(
     """
     hits = (
         repeated_lines(docs, id_col=id_col, text_col=text_col, url_col=url_col, **limits)
-        .groupBy(F.col(id_col).alias("_hit_id")).agg(F.collect_set("line_no").alias("_drop"))
+        .groupBy(F.col(id_col).alias("__hit_id")).agg(F.collect_set("line_no").alias("__drop"))
     )
-    joined = docs.join(hits, docs[id_col] == hits["_hit_id"], "left")
+    joined = docs.join(hits, docs[id_col] == hits["__hit_id"], "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), (i + 1).cast("int"))), "\n")
-    clean = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.withColumn("clean_text", clean).withColumn("lines_removed", F.coalesce(F.size("_drop"), F.lit(0))).drop("_drop", "_hit_id")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drop"), (i + 1).cast("int"))), "\n")
+    clean = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(kept)
+    return joined.withColumn("clean_text", clean).withColumn("lines_removed", F.coalesce(F.size("__drop"), F.lit(0))).drop("__drop", "__hit_id")
