@@ -47,7 +47,8 @@ def test_citation_quirks(spark):
 
 def test_keys(spark):
     assert one(spark, cite.mention_key, "IRC § 280A(c)") == "§280a(c)"
-    assert one(spark, cite.citation_key, "Treas. Reg. §1.274-5(a)") == "§1"  # the bare sign matches first
+    assert one(spark, cite.citation_key, "Treas. Reg. §1.274-5(a)") == "treasreg§1274-5"  # without the path
+    assert one(spark, cite.citation_key, "§1.274-5") == "§1"
     assert one(spark, cite.citation_key, "Pub. 587, Using it") == "pub587"
     assert one(spark, cite.citation_key, "Schedule C Instructions — Line 9") == "schedulecinstructions—line9"
     assert one(spark, cite.mentions, "irc §1(a), Treas. Reg. §1.2-3(b) and pub. 5") == ["irc §1(a)", "Treas. Reg. §1.2-3(b)", "pub. 5"]
