@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from provisio.functions.text import tokens
 from provisio.runtime import broadcast_if_small, cut
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Steps of a matrix product that cost as much as one of a scattered sum.
+DENSE_GAIN = 300
 
 
 @dataclass
@@ -33,30 +40,109 @@ def build(corpus: DataFrame) -> Index:
     return Index(docs, raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf")), stats)
 
 
-def top_k(index: Index, questions: DataFrame, k: int) -> DataFrame:
+def top_k(index: Index, questions: DataFrame, k: int, *, question_block: int = 1024) -> DataFrame:
     """(query_id, chunk_id, score, rank, retriever): the best ``k`` of the whole corpus for each question.
 
     Words that a question repeats count repeatedly. Chunks that share no word score 0 and fill up
     in corpus order. Scores are compared at 9 digits, ties go to the earlier chunk.
-    Only the questions' words are joined to their postings.
+
+    Nothing but results is shuffled: the weights of the questions' words go to the tasks, each
+    task scores its chunks and keeps its own best ``k`` of every question. Questions are taken in
+    blocks of ``question_block``, one pass over the corpus each.
     """
-    words = questions.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    asked = words.join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("qn") * F.col("idf")).alias("w"))
-    asked = broadcast_if_small(asked, 200_000)
-    wanted = broadcast_if_small(words.select("term").distinct(), 200_000)
-    postings = (
-        index.docs.select("chunk_id", "pos", "dl", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-        .groupBy("chunk_id", "pos", "dl", "term").agg(F.count("*").alias("tf"))
-    )
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    gains = postings.join(F.broadcast(index.stats)).select("chunk_id", "pos", "term", part.alias("g"))
-    hits = gains.join(asked, "term").groupBy("query_id", "chunk_id", "pos").agg(F.sum(F.col("g") * F.col("w")).alias("score"))
-    # at most k of the first 2k chunks can be needed beside the hits
-    first = index.docs.select("chunk_id", "pos").orderBy("pos").limit(2 * k)
-    fill = questions.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))
-    found = hits.unionByName(fill).groupBy("query_id", "chunk_id", "pos").agg(F.sum("score").alias("score"))
-    found = found.withColumn("score", F.round("score", 9))
+    spark = questions.sparkSession
+    q_kind = dict(questions.dtypes)["query_id"]
+    n, avgdl = index.stats.collect()[0]
+    block = questions.select("query_id", tokens(F.col("question")).alias("words")).toLocalIterator(prefetchPartitions=True)
+    out = None
+    while True:
+        got = [r for _, r in zip(range(question_block), block)]
+        if not got and out is not None:
+            break
+        vocabulary = sorted({w for r in got for w in r["words"]})
+        wanted = spark.createDataFrame([(w,) for w in vocabulary], "term string")
+        idf = {r["term"]: r["idf"] for r in index.terms.join(broadcast_if_small(wanted, 1_000_000), "term").collect()}  # the questions' words only
+        sent = spark.sparkContext.broadcast(([r["query_id"] for r in got], *_weights([r["words"] for r in got], idf)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, terms, first, who, weight = sent.value
+            best = _Best(len(ids), k)
+            for b in batches:
+                for a in range(0, b.num_rows, 1000):
+                    part = b.slice(a, 1000)
+                    best.add(part.column(0).to_pylist(), part.column(1).to_numpy(), _scores(part, terms, first, who, weight, len(ids), avgdl))
+            q, chunk, pos, score = best.rows()
+            for a in range(0, len(q), 50_000):
+                at = slice(a, a + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q[at]]), pa.array(chunk[at], pa.string()), pa.array(pos[at]), pa.array(score[at])], names=["query_id", "chunk_id", "pos", "score"])
+
+        part = index.docs.select("chunk_id", "pos", "dl", "words").mapInArrow(run, f"query_id {q_kind}, chunk_id string, pos long, score double")
+        out = part if out is None else out.unionByName(part)
+        if len(got) < question_block:
+            break
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "chunk_id", "score", "rank", F.lit("sparse").alias("retriever"))
+
+
+def _weights(words: list[list[str]], idf: dict[str, float]) -> tuple:
+    """(terms, first, who, weight): the questions ``who[first[t]:first[t + 1]]`` have term t with that weight."""
+    held = Counter((w, i) for i, ws in enumerate(words) for w in ws if w in idf)
+    terms = sorted({w for w, _ in held})
+    number = {w: t for t, w in enumerate(terms)}
+    rows = sorted((number[w], i, c * idf[w]) for (w, i), c in held.items())
+    first = np.searchsorted(np.array([r[0] for r in rows], np.int64), np.arange(len(terms) + 1))
+    return pa.array(terms, pa.string()), first, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)
+
+
+def _scores(part: pa.RecordBatch, terms: pa.Array, first: np.ndarray, who: np.ndarray, weight: np.ndarray, questions: int, avgdl: float) -> np.ndarray:
+    """Scores of the chunks of a batch (pos, dl and words in its columns 1 to 3), one row each."""
+    n = part.num_rows
+    words = part.column(3)
+    doc = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
+    term = pc.index_in(words.flatten(), value_set=terms)
+    known = pc.is_valid(term).to_numpy(zero_copy_only=False)
+    pair, tf = np.unique(doc[known] * (len(terms) + 1) + term.drop_null().to_numpy(), return_counts=True)
+    doc, term = pair // (len(terms) + 1), pair % (len(terms) + 1)
+    dl = part.column(2).to_numpy()[doc]
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)) if len(tf) else np.zeros(0)
+    count = first[term + 1] - first[term]
+    if n * len(terms) * questions < DENSE_GAIN * count.sum():  # many shared words: a matrix product is cheaper
+        gains, weights = np.zeros((n, len(terms))), np.zeros((len(terms), questions))
+        gains[doc, term] = gain
+        weights[np.repeat(np.arange(len(terms)), np.diff(first)), who] = weight
+        return np.round(gains @ weights, 9)
+    ends = np.cumsum(count)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[term] - (ends - count), count)
+    cell = np.repeat(doc, count) * questions + who[at]
+    total = np.bincount(cell, weights=np.repeat(gain, count) * weight[at], minlength=n * questions)
+    return np.round(total.reshape(n, questions), 9)
+
+
+class _Best:
+    """The best ``k`` chunks of each question so far, by score and then place."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.ids = k, []
+        self.pos = np.zeros((questions, 0), np.int64)
+        self.score = np.zeros((questions, 0))
+        self.at = np.zeros((questions, 0), np.int64)
+
+    def add(self, ids: list[str], pos: np.ndarray, score: np.ndarray) -> None:
+        questions = len(self.pos)
+        if not questions or not ids:
+            return
+        by_place = np.argsort(pos, kind="stable")
+        top = by_place[np.argsort(-score[by_place].T, axis=1, kind="stable")[:, : self.k]]
+        pos = np.concatenate([self.pos, pos[top]], axis=1)
+        value = np.concatenate([self.score, np.take_along_axis(score.T, top, 1)], axis=1)
+        at = np.concatenate([self.at, top + len(self.ids)], axis=1)
+        order = np.lexsort((pos, -value), axis=1)[:, : self.k]
+        self.pos, self.score, self.at = (np.take_along_axis(x, order, 1) for x in (pos, value, at))
+        every = self.ids + ids  # only the ids that are still among the best stay
+        used, self.at = np.unique(self.at, return_inverse=True)
+        self.ids, self.at = [every[i] for i in used], self.at.reshape(questions, -1)
+
+    def rows(self) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        q = np.repeat(np.arange(len(self.pos)), self.pos.shape[1])
+        return q, [self.ids[i] for i in self.at.ravel()], self.pos.ravel(), self.score.ravel()

@@ -18,7 +18,9 @@ WORD_SCHEMA = "doc string, page int, seq int, text string, size double, fontname
 def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     """One row for each key, that of the latest time: rows delivered again count once."""
     order = Window.partitionBy(*keys).orderBy(F.col(at).desc_nulls_last())
-    return df.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    # a fixed number of partitions, as what follows may be costly for its size
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return spread.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
