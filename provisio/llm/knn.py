@@ -31,6 +31,8 @@ from provisio.runtime import cut, over_salts, with_salt
 
 CODEWORDS = 16
 SUB = 2
+#: Vectors of the sample that the codebooks are fitted to, a few hundred for each codeword.
+BOOK_ROWS = 6_000
 SALTS = 8
 
 
@@ -81,27 +83,33 @@ def _kmeans(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.
     return c
 
 
-def _codes(x: np.ndarray, y: np.ndarray, books: np.ndarray, eta: float, sweeps: int = 2) -> np.ndarray:
+def _codes(x: np.ndarray, y: np.ndarray, books: np.ndarray, eta: float, sweeps: int = 1) -> np.ndarray:
     """Codes of the residuals y of the vectors x by coordinate descent on the score-aware loss."""
     n, d = x.shape
     m = d // SUB
-    xs, ys = x.reshape(n, m, SUB), y.reshape(n, m, SUB)
-    codes = np.empty((n, m), dtype=np.uint8)
-    along = np.empty((n, m), dtype=np.float32)
+    xs, ys = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)  # one row for each dimension
+    codes = np.empty((m, n), dtype=np.uint8)
+    along = np.empty((m, n), dtype=np.float32)
+    rows = np.arange(n)
+
+    def errors(s: int) -> tuple[np.ndarray, np.ndarray]:
+        """Squared errors, and errors along the vectors, of all codewords of subspace s."""
+        e = [ys[s * SUB + t][:, None] - books[s][:, t][None] for t in range(SUB)]
+        return sum(v * v for v in e), sum(v * xs[s * SUB + t][:, None] for t, v in enumerate(e))
+
     for s in range(m):
-        gap = ((ys[:, s, None, :] - books[s][None]) ** 2).sum(-1)
-        codes[:, s] = gap.argmin(1)
-        along[:, s] = ((ys[:, s] - books[s][codes[:, s]]) * xs[:, s]).sum(-1)
-    total = along.sum(1)
+        square, par = errors(s)
+        codes[s] = square.argmin(1)
+        along[s] = par[rows, codes[s]]
+    total = along.sum(0)
     for _ in range(sweeps):
         for s in range(m):
-            e = ys[:, s, None, :] - books[s][None]
-            par = (e * xs[:, s, None, :]).sum(-1)
-            rest = total - along[:, s]
-            cost = (e**2).sum(-1) + (eta - 1) * (rest[:, None] + par) ** 2
-            codes[:, s] = cost.argmin(1)
-            along[:, s] = np.take_along_axis(par, codes[:, s, None].astype(np.int64), 1)[:, 0]
-            total = rest + along[:, s]
+            square, par = errors(s)
+            rest = total - along[s]
+            codes[s] = (square + np.float32(eta - 1) * (rest[:, None] + par) ** 2).argmin(1)
+            along[s] = par[rows, codes[s]]
+            total = rest + along[s]
+    codes = np.ascontiguousarray(codes.T)
     return codes
 
 
@@ -110,6 +118,7 @@ def fit(sample: np.ndarray, cells: int, eta: float, seed: int = 7) -> tuple[np.n
     rng = np.random.default_rng(seed)
     cells = max(1, min(cells, len(sample)))
     cent = _kmeans(sample, cells, 12, rng)
+    sample = sample[rng.permutation(len(sample))[:BOOK_ROWS]]
     home = np.concatenate([(sample[i : i + 4096] @ cent.T).argmax(1) for i in range(0, len(sample), 4096)])
     y = sample - cent[home]
     n, d = sample.shape
