@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provisio.functions.citations import path, provision_id, section
+from provisio.runtime import cut
 
 
 def parsed(df: DataFrame, text_col: str) -> DataFrame:
@@ -44,9 +45,10 @@ def lookup(questions: DataFrame, chunks: DataFrame, *, text_col: str = "question
     leaf: its own chunk, then its parent's, if any. Nothing found: no row.
     """
     targets = parsed(questions.select("query_id", F.col(text_col).alias("_q")), "_q").filter("pid is not null").select("query_id", "section", "path", "pid")
-    known = provisions(chunks)
+    # both are used several times below: the table of provisions, and what a bounded number of questions meet in it
+    known = cut(provisions(chunks))
     own = targets.join(known.select("pid", "chunk_id"), "pid").select("query_id", "chunk_id", "section", "path")
-    low = descendants(targets, known)
+    low = cut(descendants(targets, known))
     down = low.select("query_id", "chunk_id", F.lit(1).alias("_b"), F.col("depth").alias("_d"), F.col("first_pos").alias("_p"))
     leaves = own.join(low.select("query_id").distinct(), "query_id", "left_anti").filter(F.size("path") > 0)
     up = leaves.withColumn("pid", provision_id(F.col("section"), F.slice("path", F.lit(1), F.size("path") - 1)))

@@ -132,7 +132,7 @@ def slug_and_dedupe_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    lines = table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     return lines.withColumn("line_no", F.col("line_no").cast("long"))
 
 
