@@ -16,19 +16,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return split.cut_points(table(spark, d, "chunks"), limit=1200, overlap=120)
+    return split.cut_points(table(spark, d, "chunks", spread=True), limit=1200, overlap=120)
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_pieces(table(spark, d, "chunks"), limit=1200, overlap=120, window=500)
+    return split.split_pieces(table(spark, d, "chunks", spread=True), limit=1200, overlap=120, window=500)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines.repeated_lines(table(spark, d, "chunks"), min_docs=12)
+    return site_lines.repeated_lines(table(spark, d, "chunks", spread=True), min_docs=12)
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
-    rows = site_lines.without_repeated_lines(table(spark, d, "chunks"), min_docs=12)
+    rows = site_lines.without_repeated_lines(table(spark, d, "chunks", spread=True), min_docs=12)
     return rows.select("chunk_id", "ingested_at", "clean_text", "lines_removed")
 
 
@@ -57,27 +57,27 @@ NEAR = {"text_col": "text", "group_col": "source_type", "shingle": 3, "num": 1,
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_dup.near_duplicate_pairs(table(spark, d, "chunks"), **NEAR)
+    return near_dup.near_duplicate_pairs(table(spark, d, "chunks", spread=True), **NEAR)
 
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
-    return near_dup.near_duplicate_links(table(spark, d, "chunks"), **NEAR)
+    return near_dup.near_duplicate_links(table(spark, d, "chunks", spread=True), **NEAR)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encode_texts(table(spark, d, "documents"), os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken"))
+    return tokenize.encode_texts(table(spark, d, "documents", spread=True), os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.leaked_items(table(spark, d, "documents"), table(spark, d, "golden_set"))
+    return contamination.leaked_items(table(spark, d, "documents", spread=True), table(spark, d, "golden_set"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.sharing_pairs(table(spark, d, "documents"))
+    return shared_spans.sharing_pairs(table(spark, d, "documents", spread=True))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.shared_shares(table(spark, d, "documents"))
+    return shared_spans.shared_shares(table(spark, d, "documents", spread=True))
 
 
 QUERIES: dict[str, Query] = {
