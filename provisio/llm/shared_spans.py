@@ -42,8 +42,12 @@ def _extreme(h: np.ndarray, width: int, of: np.ufunc, fill: np.uint64) -> np.nda
     return of(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def fingerprints(texts: list[str], width: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, place, hash) of the fingerprints of the texts, each at least ``length`` long."""
+def fingerprints(texts: list[str], width: int, length: int) -> tuple[np.ndarray, ...]:
+    """(text number, place, hash, hash before, hash after) of the fingerprints of the texts, each at least ``length`` long.
+
+    The hashes before and after are those of the ``beside(width, length)`` characters next to the
+    window, 0 where the text has fewer.
+    """
     window = length - width + 1
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -57,7 +61,7 @@ def fingerprints(texts: list[str], width: int, length: int) -> tuple[np.ndarray,
     across = across[across < len(h)]
     h[across] = TOP  # windows over the end of a text
     if len(h) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     least = _extreme(h, window, np.minimum, TOP)
     # a place counts if it is the least of any window around it
     pad = np.zeros(window - 1, np.uint64)
@@ -73,7 +77,21 @@ def fingerprints(texts: list[str], width: int, length: int) -> tuple[np.ndarray,
         inner = np.zeros(len(at), bool)
         inner[1:-1] = (step[1:] == step[:-1]) & (step[1:] > 0) & (step[1:] <= width)
         doc, at, value = doc[~inner], at[~inner], value[~inner]
-    return doc, at - (ends - sizes)[doc], value
+    c = beside(width, length)
+    starts = ends - sizes
+
+    def between(a: np.ndarray, b: np.ndarray, there: np.ndarray) -> np.ndarray:
+        a, b = np.where(there, a, 0), np.where(there, b, 0)
+        return np.where(there, mix((total[b] - total[a]) * back[a]) | np.uint64(1), np.uint64(0))
+
+    before = between(at - c, at, at - c >= starts[doc])
+    after = between(at + width, at + width + c, at + width + c <= ends[doc])
+    return doc, at - starts[doc], value, before, after
+
+
+def beside(width: int, length: int) -> int:
+    """A run of ``length`` characters around a window goes on this far on one side of it at least."""
+    return -(-(length - width) // 2)
 
 
 def common_runs(a: np.ndarray, b: np.ndarray, diagonals: list[int], length: int) -> list[tuple[int, int, int]]:
@@ -89,10 +107,12 @@ def common_runs(a: np.ndarray, b: np.ndarray, diagonals: list[int], length: int)
     return out
 
 
-def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 250, width: int = 160) -> tuple[DataFrame, DataFrame]:
+def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 250, width: int = 160, hot_docs: int = 200) -> tuple[DataFrame, DataFrame]:
     """(spans, members). spans: (key_a, key_b, start_a, start_b, length) of texts, key_a < key_b.
 
-    members: (key, key2, id, n_chars), the ids that carry each text.
+    members: (key, key2, id, n_chars), the ids that carry each text. A fingerprint in more than
+    ``hot_docs`` places is matched together with what stands before or after it, one of which a
+    run of ``length`` must share, so a widespread shorter passage doesn't pair all its documents.
     """
     if not 1 <= width <= length:
         raise ValueError("width must be between 1 and length")
@@ -110,15 +130,24 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     texts.append(t)
                     chars += len(t)
                 if texts and (chars >= 2_000_000 or last == 0):
-                    doc, at, h = fingerprints(texts, width, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(keys, np.int64)[doc]), pa.array(at.astype(np.int32))], names=["_h", "_key", "_at"])
+                    doc, at, h, before, after = fingerprints(texts, width, length)
+                    sides = [pa.array(x.astype(np.uint32).view(np.int32), mask=x == 0) for x in (before, after)]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(keys, np.int64)[doc]), pa.array(at.astype(np.int32)), *sides], names=["_h", "_key", "_at", "_l", "_r"])
                     keys, texts, chars = [], [], 0
             if len(seen) > 1_000_000:
                 seen = set()
 
-    prints = keyed.select("_key", "_t").mapInArrow(mark, "_h long, _key long, _at int").repartition("_h").distinct()
-    a, b = (prints.select("_h", F.col("_key").alias(f"key_{x}"), F.col("_at").alias(f"_at_{x}")) for x in "ab")
-    met = a.join(b, "_h").filter("key_a < key_b").select("key_a", "key_b", (F.col("_at_a") - F.col("_at_b")).alias("_d"))
+    prints = keyed.select("_key", "_t").mapInArrow(mark, "_h long, _key long, _at int, _l int, _r int").repartition("_h").distinct()
+    prints = prints.withColumn("_n", F.count("*").over(Window.partitionBy("_h"))).filter("_n > 1")
+
+    def meeting(rows: DataFrame) -> DataFrame:
+        a, b = (rows.select("_h", F.col("_key").alias(f"key_{x}"), F.col("_at").alias(f"_at_{x}")) for x in "ab")
+        return a.join(b, "_h").filter("key_a < key_b").select("key_a", "key_b", (F.col("_at_a") - F.col("_at_b")).alias("_d"))
+
+    hot = F.col("_n") > (hot_docs if beside(width, length) else 2**62)
+    sides = F.array(*(F.when(F.col(c).isNotNull(), F.xxhash64("_h", F.lit(c), c)) for c in ("_l", "_r")))
+    split_up = prints.filter(hot).withColumn("_h", F.explode(sides)).filter("_h is not null")
+    met = meeting(prints.filter(~hot)).unionByName(meeting(split_up))
     met = cut(met.groupBy("key_a", "key_b").agg(F.collect_set("_d").alias("_d")))
     wanted = cut(met.select(F.explode(F.array("key_a", "key_b")).alias("_key")).distinct())
     texts = keyed.select("_key", "_t").join(broadcast_if_small(wanted, 2_000_000), "_key", "left_semi").groupBy("_key").agg(F.first("_t").alias("_t"))

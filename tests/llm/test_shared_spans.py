@@ -38,13 +38,13 @@ def docs():
     return out
 
 
-@pytest.mark.parametrize("width", [10, 20, 30])
-def test_pairs_equal_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "hot"), [(10, 200), (20, 200), (30, 200), (20, 1), (15, 3), (30, 1)])
+def test_pairs_equal_brute_force(spark, width, hot):
     rows = docs()
     df = spark.createDataFrame([(*r, "l") for r in rows], SCHEMA).repartition(3)
     want = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and runs(x, y, 30)}
     assert len(want) > 20
-    got = shared_spans.sharing_pairs(df, length=30, width=width)
+    got = shared_spans.sharing_pairs(df, length=30, width=width, hot_docs=hot)
     assert {tuple(r) for r in got.collect()} == want
 
 
@@ -74,7 +74,7 @@ def test_empty_and_bad_width(spark):
 def test_long_text_in_one_batch():
     rnd = random.Random(1)
     text = "".join(rnd.choice("abcdef ") for _ in range(50_000))
-    doc, at, h = shared_spans.fingerprints([text, text[20_000:20_300]], 160, 250)
+    doc, at, h, *_ = shared_spans.fingerprints([text, text[20_000:20_300]], 160, 250)
     assert set(h[doc == 1].tolist()) & set(h[doc == 0].tolist())
     place = dict(zip(h[doc == 0].tolist(), at[doc == 0].tolist()))
     assert all(place[v] - a == 20_000 for v, a in zip(h[doc == 1].tolist(), at[doc == 1].tolist()) if v in place)
