@@ -138,7 +138,8 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 seen = set()
 
     prints = keyed.select("_key", "_t").mapInArrow(mark, "_h long, _key long, _at int, _l int, _r int").repartition("_h").distinct()
-    prints = prints.withColumn("_n", F.count("*").over(Window.partitionBy("_h"))).filter("_n > 1")
+    # most fingerprints are met once; what is left is small and used several times
+    prints = cut(prints.withColumn("_n", F.count("*").over(Window.partitionBy("_h"))).filter("_n > 1"))
 
     def meeting(rows: DataFrame) -> DataFrame:
         a, b = (rows.select("_h", F.col("_key").alias(f"key_{x}"), F.col("_at").alias(f"_at_{x}")) for x in "ab")
