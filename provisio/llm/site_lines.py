@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provisio.runtime import over_salts, with_salt
+from provisio.runtime import cut, over_salts, with_salt
 
 SALTS = 8
 
@@ -40,7 +40,7 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str, url_col: str, mi
     lines = F.split(F.col(text_col), "\n", -1)
     return (
         docs.select(F.col(id_col).alias("_id"), site_of(F.col(url_col)).alias("_site"), F.posexplode(lines).alias("_n", "_line"))
-        .filter(F.col("_site").isNotNull() & F.col("_id").isNotNull())
+        .filter(F.col("_site").isNotNull() & F.col("_id").isNotNull() & (F.length("_line") >= min_letters))
         .select("_id", "_site", (F.col("_n") + 1).alias("_no"), line_key(F.col("_line")).alias("_key"))
         .filter(F.length("_key") >= min_letters)
         .select("_id", "_no", F.xxhash64("_site", "_key").alias("_h1"), F.hash("_key").alias("_h2"), "_site")
@@ -52,7 +52,8 @@ def repeated_lines(
     min_docs: int = 12, min_share: float = 0.0,
 ) -> DataFrame:
     """(id, line_no): the lines found in at least ``min_docs`` documents of their site, and that share of them."""
-    lines = document_lines(docs, id_col, text_col, url_col, min_letters)
+    # counted and looked up again: written once, without the texts
+    lines = cut(document_lines(docs, id_col, text_col, url_col, min_letters))
     keys = ["_h1", "_h2"]
     held = lines.select("_id", *keys, "_site").distinct() if min_share > 0 else lines.select("_id", *keys).distinct()
     frequent = held.groupBy(*keys, *(["_site"] if min_share > 0 else [])).agg(F.count("*").alias("_docs")).filter(F.col("_docs") >= min_docs)
