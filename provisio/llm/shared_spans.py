@@ -8,10 +8,12 @@ as it goes on both sides, character by character, and factors of at least ``leng
 spans. Each diagonal (place in one document less place in the other) is followed once, over the
 whole of both texts, so no run is lost between two factors.
 
-Equal texts go through once. Fingerprints of repeating stretches (one text, one hash, equal
-steps) are kept at both ends of the stretch only; an alignment inside it is never longer than
-those at the ends. Null texts and texts shorter than ``length`` have no spans. Offsets count
-code points.
+Equal texts go through once. Fingerprints of a repeating stretch (one text, one hash, equal
+steps) are kept as one row with first place, step and count. Where stretches meet, both texts
+repeat with one period, and on every diagonal through both the run is just what they have in
+common, save where both begin or both end; these two diagonals are followed like all others, and
+of the rest the intervals that the runs cover together are worked out. Null texts and texts
+shorter than ``length`` have no spans. Offsets count code points.
 """
 
 from __future__ import annotations
@@ -43,10 +45,12 @@ def _extreme(h: np.ndarray, width: int, of: np.ufunc, fill: np.uint64) -> np.nda
 
 
 def fingerprints(texts: list[str], width: int, length: int) -> tuple[np.ndarray, ...]:
-    """(text number, place, hash, hash before, hash after) of the fingerprints of the texts, each at least ``length`` long.
+    """(text number, place, hash, hash before, hash after, step, count, further) of the fingerprints of the texts, each at least ``length`` long.
 
     The hashes before and after are those of the ``beside(width, length)`` characters next to the
-    window, 0 where the text has fewer.
+    window, 0 where the text has fewer. A hash at ``count`` places, each ``step`` after the last, is
+    one row; ``further`` marks more rows of it, for the places where a hash beside it changes (a
+    hash that stays is 0 there).
     """
     window = length - width + 1
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -61,7 +65,7 @@ def fingerprints(texts: list[str], width: int, length: int) -> tuple[np.ndarray,
     across = across[across < len(h)]
     h[across] = TOP  # windows over the end of a text
     if len(h) < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64, bool))
     least = _extreme(h, window, np.minimum, TOP)
     # a place counts if it is the least of any window around it
     pad = np.zeros(window - 1, np.uint64)
@@ -71,12 +75,11 @@ def fingerprints(texts: list[str], width: int, length: int) -> tuple[np.ndarray,
     value = h[at]
     order = np.lexsort((at, value, doc))
     doc, at, value = doc[order], at[order], value[order]
-    if len(at) > 2:
-        same = (doc[1:] == doc[:-1]) & (value[1:] == value[:-1])
-        step = np.where(same, np.diff(at), -1)
-        inner = np.zeros(len(at), bool)
-        inner[1:-1] = (step[1:] == step[:-1]) & (step[1:] > 0) & (step[1:] <= width)
-        doc, at, value = doc[~inner], at[~inner], value[~inner]
+    same = (doc[1:] == doc[:-1]) & (value[1:] == value[:-1])
+    step = np.where(same & (np.diff(at) <= width), np.diff(at), 0)  # to the next place, 0 if it lies too far off
+    first = np.ones(len(at), bool)
+    first[1:] = step == 0
+    first[2:] |= (step[:-1] > 0) & (step[1:] != step[:-1])
     c = beside(width, length)
     starts = ends - sizes
 
@@ -86,7 +89,15 @@ def fingerprints(texts: list[str], width: int, length: int) -> tuple[np.ndarray,
 
     before = between(at - c, at, at - c >= starts[doc])
     after = between(at + width, at + width + c, at + width + c <= ends[doc])
-    return doc, at - starts[doc], value, before, after
+    head = np.flatnonzero(first)
+    count = np.diff(np.r_[head, len(at)])
+    step = np.where(count > 1, np.r_[step, 0][head], 0)
+    of = np.cumsum(first) - 1
+    before = np.where(first | np.r_[True, before[1:] != before[:-1]], before, 0)
+    after = np.where(first | np.r_[True, after[1:] != after[:-1]], after, 0)
+    rows = np.flatnonzero(first | (before != 0) | (after != 0))
+    of = of[rows]
+    return doc[rows], (at - starts[doc])[head[of]], value[rows], before[rows], after[rows], step[of], count[of], ~first[rows]
 
 
 def beside(width: int, length: int) -> int:
@@ -107,9 +118,49 @@ def common_runs(a: np.ndarray, b: np.ndarray, diagonals: list[int], length: int)
     return out
 
 
+def _repeating(x: np.ndarray, at: int, step: int) -> tuple[int, int]:
+    """(start, end) of the longest stretch around the place that repeats every ``step`` characters."""
+    turns = np.flatnonzero(x[:-step] != x[step:])
+    i = int(np.searchsorted(turns, at))
+    return int(turns[i - 1]) + 1 if i else 0, int(turns[i]) + step if i < len(turns) else len(x)
+
+
+def stretches_met(a: np.ndarray, b: np.ndarray, seeds: list[dict[str, int]], length: int, width: int) -> tuple[set[int], set[tuple[int, int, int, int]]]:
+    """(diagonals to follow, intervals covered) where fingerprints meet of which one at least repeats.
+
+    seeds: first place, step and count in both. An interval is (start in a, length in a, start in
+    b, length in b), each covered by runs of at least ``length`` that stand in the other's.
+    """
+    diagonals: set[int] = set()
+    covered: set[tuple[int, int, int, int]] = set()
+    for e in seeds:
+        step = min(s for s in (e["sa"], e["sb"]) if s)
+        areas = []
+        for x, at, s, n in ((a, e["a"], e["sa"], e["na"]), (b, e["b"], e["sb"], e["nb"])):
+            own: list[tuple[int, int, int]] = []
+            for place in range(at, at + s * (n - 1) + 1, s) if s else [at]:
+                if not own or place + width > own[-1][2]:
+                    own.append((place, *_repeating(x, place, step)))
+                if s == step:
+                    break  # all in one
+            areas.append(own)
+        for p, a1, a2 in areas[0]:
+            for q, b1, b2 in areas[1]:
+                if not np.array_equal(a[p : p + width], b[q : q + width]):
+                    continue
+                diagonals.update(d for d in (a1 - b1, a2 - b2) if (d - p + q) % step == 0)
+                low, high = a1 + length - b2, a2 - b1 - length
+                low, high = low + (p - q - low) % step, high - (high - p + q) % step
+                if min(a2 - a1, b2 - b1) >= length and low <= high:
+                    sa, sb = max(a1, b1 + low), max(b1, a1 - high)
+                    covered.add((sa, min(a2, b2 + high) - sa, sb, min(b2, a2 - low) - sb))
+    return diagonals, covered
+
+
 def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 250, width: int = 160, hot_docs: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(spans, members). spans: (key_a, key_b, start_a, start_b, length) of texts, key_a < key_b.
+    """(spans, members). spans: (key_a, key_b, start_a, length_a, start_b, length_b) of texts, key_a < key_b.
 
+    The lengths differ only where repeating stretches meet: there a span is what their runs cover.
     members: (key, key2, id, n_chars), the ids that carry each text. A fingerprint in more than
     ``hot_docs`` places is matched together with what stands before or after it, one of which a
     run of ``length`` must share, so a widespread shorter passage doesn't pair all its documents.
@@ -130,44 +181,51 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     texts.append(t)
                     chars += len(t)
                 if texts and (chars >= 2_000_000 or last == 0):
-                    doc, at, h, before, after = fingerprints(texts, width, length)
+                    doc, at, h, before, after, step, count, further = fingerprints(texts, width, length)
                     sides = [pa.array(x.astype(np.uint32).view(np.int32), mask=x == 0) for x in (before, after)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(keys, np.int64)[doc]), pa.array(at.astype(np.int32)), *sides], names=["_h", "_key", "_at", "_l", "_r"])
+                    places = [pa.array(x.astype(np.int32)) for x in (at, step, count)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h.view(np.int64)), pa.array(np.array(keys, np.int64)[doc]), *places, *sides, pa.array(further)],
+                        names=["_h", "_key", "_at", "_step", "_count", "_l", "_r", "_further"],
+                    )
                     keys, texts, chars = [], [], 0
             if len(seen) > 1_000_000:
                 seen = set()
 
-    prints = keyed.select("_key", "_t").mapInArrow(mark, "_h long, _key long, _at int, _l int, _r int").repartition("_h").distinct()
+    prints = keyed.select("_key", "_t").mapInArrow(mark, "_h long, _key long, _at int, _step int, _count int, _l int, _r int, _further boolean").repartition("_h").distinct()
     # most fingerprints are met once; what is left is small and used several times
-    prints = cut(prints.withColumn("_n", F.count("*").over(Window.partitionBy("_h"))).filter("_n > 1"))
+    prints = cut(prints.withColumn("_n", F.count_if(~F.col("_further")).over(Window.partitionBy("_h"))).filter("_n > 1"))
 
     def meeting(rows: DataFrame) -> DataFrame:
-        a, b = (rows.select("_h", F.col("_key").alias(f"key_{x}"), F.col("_at").alias(f"_at_{x}")) for x in "ab")
-        return a.join(b, "_h").filter("key_a < key_b").select("key_a", "key_b", (F.col("_at_a") - F.col("_at_b")).alias("_d"))
+        a, b = (rows.select("_h", F.col("_key").alias(f"key_{x}"), F.col("_at").alias(x), F.col("_step").alias(f"s{x}"), F.col("_count").alias(f"n{x}")) for x in "ab")
+        once = (F.col("sa") == 0) & (F.col("sb") == 0)
+        seeds = F.when(~once, F.struct("a", "sa", "na", "b", "sb", "nb"))
+        return a.join(b, "_h").filter("key_a < key_b").select("key_a", "key_b", F.when(once, F.col("a") - F.col("b")).alias("_d"), seeds.alias("_s"))
 
     hot = F.col("_n") > (hot_docs if beside(width, length) else 2**62)
     sides = F.array(*(F.when(F.col(c).isNotNull(), F.xxhash64("_h", F.lit(c), c)) for c in ("_l", "_r")))
     split_up = prints.filter(hot).withColumn("_h", F.explode(sides)).filter("_h is not null")
-    met = meeting(prints.filter(~hot)).unionByName(meeting(split_up))
-    met = cut(met.groupBy("key_a", "key_b").agg(F.collect_set("_d").alias("_d")))
+    met = meeting(prints.filter(~hot & ~F.col("_further"))).unionByName(meeting(split_up))
+    met = cut(met.groupBy("key_a", "key_b").agg(F.collect_set("_d").alias("_d"), F.collect_set("_s").alias("_s")))
     wanted = cut(met.select(F.explode(F.array("key_a", "key_b")).alias("_key")).distinct())
     texts = keyed.select("_key", "_t").join(broadcast_if_small(wanted, 2_000_000), "_key", "left_semi").groupBy("_key").agg(F.first("_t").alias("_t"))
     both = met.join(texts.select(F.col("_key").alias("key_a"), F.col("_t").alias("_ta")), "key_a")
-    both = both.join(texts.select(F.col("_key").alias("key_b"), F.col("_t").alias("_tb")), "key_b").select("key_a", "key_b", "_d", "_ta", "_tb")
+    both = both.join(texts.select(F.col("_key").alias("key_b"), F.col("_t").alias("_tb")), "key_b").select("key_a", "key_b", "_d", "_s", "_ta", "_tb")
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, runs = [], []
-            for i, (d, x, y) in enumerate(zip(b.column(2).to_pylist(), texts_of(b.column(3)), texts_of(b.column(4)))):
+            for i, (d, s, x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), texts_of(b.column(4)), texts_of(b.column(5)))):
                 x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
-                for r in common_runs(x, y, d, length):
-                    row.append(i)
-                    runs.append(r)
+                more, covered = stretches_met(x, y, s, length, width)
+                runs += covered
+                runs += [(p, n, q, n) for p, q, n in common_runs(x, y, list(more.union(d)), length)]
+                row += [i] * (len(runs) - len(row))
             at = pa.array(row, pa.int64())
-            cols = list(zip(*runs)) if runs else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(c, pa.int32()) for c in cols)], names=["key_a", "key_b", "start_a", "start_b", "length"])
+            cols = list(zip(*runs)) if runs else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(c, pa.int32()) for c in cols)], names=["key_a", "key_b", "start_a", "length_a", "start_b", "length_b"])
 
-    spans = both.mapInArrow(factor, "key_a long, key_b long, start_a int, start_b int, length int")
+    spans = both.mapInArrow(factor, "key_a long, key_b long, start_a int, length_a int, start_b int, length_b int")
     members = keyed.select("_key", "_key2", "_id", F.length("_t").alias("n_chars")).distinct()
     return spans, members
 
@@ -194,8 +252,8 @@ def shared_shares(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFram
     """
     spans, members = shared_spans(docs, id_col=id_col, **how)
     spans = cut(spans)
-    own = spans.select(F.col("key_a").alias("_key"), F.col("start_a").alias("_s"), (F.col("start_a") + F.col("length")).alias("_e"))
-    own = own.unionByName(spans.select(F.col("key_b").alias("_key"), F.col("start_b").alias("_s"), (F.col("start_b") + F.col("length")).alias("_e")))
+    own = spans.select(F.col("key_a").alias("_key"), F.col("start_a").alias("_s"), (F.col("start_a") + F.col("length_a")).alias("_e"))
+    own = own.unionByName(spans.select(F.col("key_b").alias("_key"), F.col("start_b").alias("_s"), (F.col("start_b") + F.col("length_b")).alias("_e")))
     own = own.groupBy("_key", "_s").agg(F.max("_e").alias("_e"))  # at most one row for each place of a text
     before = Window.partitionBy("_key").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     fresh = own.withColumn("_b", F.greatest("_s", F.coalesce(F.max("_e").over(before), F.lit(0))))

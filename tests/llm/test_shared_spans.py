@@ -64,6 +64,45 @@ def test_shares_equal_brute_force(spark):
         assert got[i] == (len(x), len(held))
 
 
+def repeating():
+    """Texts that repeat themselves with many periods, phases and lengths, between others and alone."""
+    rnd = random.Random(5)
+    phrase = "".join(rnd.choice("abcdefgh ") for _ in range(17))
+    out = []
+    for unit in ("-", "|-", "|-|--", phrase):
+        for size in (29, 33, 41, 47, 150):
+            shift = rnd.randrange(len(unit))
+            body = (unit * 200)[shift : shift + size]
+            out.append(rnd.choice(["", "x" + unit, "yz"]) + body + rnd.choice(["", "w", "vu" + phrase]))
+        out.append(out[-1][:120] + rnd.choice("pq") + out[-1][10:90])
+    return [(i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize(("width", "hot"), [(15, 200), (20, 200), (30, 200), (20, 1), (12, 2)])
+def test_repeating_texts_equal_brute_force(spark, width, hot):
+    rows = repeating()
+    df = spark.createDataFrame([(*r, "l") for r in rows], SCHEMA).repartition(3)
+    held = {i: set() for i, _ in rows}
+    want = set()
+    for i, x in rows:
+        for j, y in rows:
+            if i != j:
+                for a, _, n in runs(x, y, 30):
+                    held[i] |= set(range(a, a + n))
+                    want.add((min(i, j), max(i, j)))
+    got = shared_spans.shared_shares(df, length=30, width=width, hot_docs=hot).collect()
+    assert {r.doc_id: r.shared_chars for r in got} == {i: len(held[i]) for i, x in rows if len(x) >= 30}
+    pairs = shared_spans.sharing_pairs(df, length=30, width=width, hot_docs=hot)
+    assert {tuple(r) for r in pairs.collect()} == want
+
+
+def test_every_place_of_a_long_stretch_is_shared(spark):
+    for unit in ("-", "|-|-", "0123456789 abcdefghij 0123456789 klmnopq "):
+        rows = [(1, "A" + (unit * 1200)[:1200] + "B"), (2, "C" + (unit * 1200)[2:302] + "D")]
+        df = spark.createDataFrame([(*r, "l") for r in rows], SCHEMA)
+        assert {r.doc_id: r.shared_chars for r in shared_spans.shared_shares(df).collect()} == {1: 1200, 2: 300}
+
+
 def test_empty_and_bad_width(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert shared_spans.sharing_pairs(df).count() == 0 and shared_spans.shared_shares(df).count() == 0
