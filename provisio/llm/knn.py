@@ -1,8 +1,8 @@
 """The k most similar vectors of every vector: cells, four-bit codes and exact reranking.
 
 A coarse spherical k-means, fitted on a bounded sample, gives the cells; every vector is stored
-in the cell of its nearest centroid and looked for in its ``probes`` nearest cells. What is left
-of a vector after its centroid is product-quantised with 16 codewords in each two-dimensional
+in the cell of its nearest centroid and looked for in its nearest cells, the more of them the more
+cells there are (``probed``). What is left of a vector after its centroid is product-quantised with 16 codewords in each two-dimensional
 subspace (four bits). Codes and codebooks are fitted to the score-aware loss
 ``|e|^2 + (eta - 1) <e, x>^2``, which punishes the part of the error e along the vector x, as
 that part is what changes the inner products that matter.
@@ -143,6 +143,11 @@ def fit(sample: np.ndarray, cells: int, eta: float, seed: int = 7) -> tuple[np.n
     return cent.astype(np.float32), books
 
 
+def probed(cells: int, least: int) -> int:
+    """Cells to look in: ``least``, or half of ``cells ** (2/3)`` if that is more, as a smaller cell holds less of a vector's surroundings."""
+    return min(cells, max(least, round(cells ** (2 / 3) / 2)))
+
+
 def _top(q: np.ndarray, q_key: np.ndarray, m: np.ndarray, m_key: np.ndarray, decoded: np.ndarray, k: int, rerank: int, least: float):
     """(query row, member row, similarity) of the exact best k among the ``rerank`` best by codes."""
     out = []
@@ -172,7 +177,7 @@ def nearest(
 
     The sample for fitting is the ``sample_rows`` vectors of smallest id hash; every vector is
     indexed and searched for. There is a cell for each ``cell_rows`` vectors, but at most one
-    for every 8 of the sample.
+    for every 8 of the sample; ``probes`` is the least number of them that are looked in.
     """
     if dim % SUB:
         raise ValueError(f"dim must be a multiple of {SUB}")
@@ -188,7 +193,7 @@ def nearest(
     sample = _matrix(rows.column(0).combine_chunks(), dim) if total else np.eye(1, dim, dtype=np.float32)
     cent, books = fit(sample, min(max(1, total // cell_rows), max(1, sample_rows // 8)), eta)
     model = spark.sparkContext.broadcast((cent, books))
-    probes = min(probes, len(cent))
+    probes = probed(len(cent), probes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cent, books = model.value

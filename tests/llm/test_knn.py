@@ -30,6 +30,24 @@ def test_recall_on_clustered_vectors(spark):
     assert sum(len(set(got[i].values()) & set(want[i])) for i in ids) / 15000 >= 0.95
 
 
+def test_recall_with_many_cells(spark):
+    rng = np.random.default_rng(4)
+    n = 4000
+    x = rng.normal(size=(12, 32))[rng.choice(12, n)] + 0.5 * rng.normal(size=(n, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = [f"v{i:05d}" for i in range(n)]
+    got = {}
+    for r in knn.nearest(frame(spark, [(i, v, 0) for i, v in zip(ids, x)]), id_col="chunk_id", vec_col="embedding", dim=32, k=5, cell_rows=4).collect():
+        got.setdefault(r.chunk_id, set()).add(r.neighbour)
+    want = exact(ids, x, 5)
+    assert sum(len(got[i] & set(want[i])) for i in ids) / (5 * n) >= 0.95
+
+
+def test_probes_grow_with_cells():
+    assert [knn.probed(c, 16) for c in (1, 24, 247, 1235, 2470)] == [1, 16, 20, 58, 91]
+    assert knn.probed(50, 8) == 8 and knn.probed(2470, 200) == 200
+
+
 def test_dirty_rows_and_copies(spark):
     rows = [(f"c{i:02d}", [1.0, 0.0], 1) for i in range(20)] + [("near", [1.0, 0.1], 1), ("far", [0.0, 1.0], 1)]
     rows += [("null", None, 1), ("empty", [], 1), ("long", [1, 2, 3], 1), ("nan", [float("nan"), 1], 1), ("inf", [float("inf"), 1], 1), ("zero", [0, 0], 1), ("hole", [None, 1], 1), (None, [1, 0], 1)]
