@@ -77,7 +77,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans.shared_shares(table(spark, d, "documents", spread=True))
+    return shared_spans.document_shares(table(spark, d, "documents", spread=True))
 
 
 QUERIES: dict[str, Query] = {

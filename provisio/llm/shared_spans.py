@@ -262,3 +262,15 @@ def shared_shares(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFram
     out = members.join(copies, ["_key", "_key2"]).join(covered, "_key", "left")
     shared = F.when(F.col("_n") > 1, F.col("n_chars").cast("long")).otherwise(F.coalesce("_c", F.lit(0).cast("long")))
     return out.select(F.col("_id").alias(id_col), F.col("n_chars").cast("long").alias("n_chars"), shared.alias("shared_chars"), F.round(shared / F.col("n_chars"), 6).alias("share"))
+
+
+def document_shares(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 250, **how) -> DataFrame:
+    """``shared_shares`` with a row for every document.
+
+    Texts shorter than ``length``, empty and null ones hold no span: ``shared_chars`` and ``share``
+    are 0, and so is ``n_chars`` of a null text. Rows without an id are left out.
+    """
+    long = shared_shares(docs, id_col=id_col, text_col=text_col, length=length, **how)
+    rest = docs.filter(F.col(id_col).isNotNull()).select(id_col, F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"))
+    rest = rest.filter(F.col("n_chars") < length).distinct()
+    return long.unionByName(rest.select(id_col, "n_chars", F.lit(0).cast("long").alias("shared_chars"), F.lit(0.0).alias("share")))

@@ -1,8 +1,10 @@
+import os
 import random
 
 import pytest
 
 from provisio.llm import shared_spans
+from provisio.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, length string"
 
@@ -103,6 +105,16 @@ def test_every_place_of_a_long_stretch_is_shared(spark):
         assert {r.doc_id: r.shared_chars for r in shared_spans.shared_shares(df).collect()} == {1: 1200, 2: 300}
 
 
+def test_every_document_has_a_share(spark, sf):
+    df = spark.createDataFrame([(1, None, "l"), (2, "", "l"), (3, "x" * 29, "l"), (4, "y" * 30, "l"), (5, "y" * 40, "l"), (None, "z", "l")], SCHEMA)
+    got = {tuple(r) for r in shared_spans.document_shares(df, length=30, width=15).collect()}
+    assert got == {(1, 0, 0, 0.0), (2, 0, 0, 0.0), (3, 29, 0, 0.0), (4, 30, 30, 1.0), (5, 40, 40, 1.0)}
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    ids = [r.doc_id for r in QUERIES["p8_shares"](spark, sf).collect()]
+    assert sorted(ids) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+
+
 def test_empty_and_bad_width(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert shared_spans.sharing_pairs(df).count() == 0 and shared_spans.shared_shares(df).count() == 0
