@@ -44,6 +44,11 @@ def p3_flows(spark: SparkSession, d: str) -> DataFrame:
     return ranking.ranking(_criteria(spark, d))
 
 
+def p3_clipped(spark: SparkSession, d: str) -> DataFrame:
+    """The preference grows up to a quarter of the candidates and is whole beyond."""
+    return ranking.ranking(_criteria(spark, d), threshold=0.25)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.similar_pairs(table(spark, d, "chunk_vectors"), id_col="chunk_id", vec_col="embedding", time_col="embedded_at", k=5, least=0.9)
 
@@ -82,5 +87,5 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p3_flows, p4_found, p4_neighbours, p5_found, p5_links, p6_ids, p7_found, p8_found, p8_shares)
+    for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p3_flows, p3_clipped, p4_found, p4_neighbours, p5_found, p5_links, p6_ids, p7_found, p8_found, p8_shares)
 }

@@ -1,8 +1,11 @@
+import os
 import random
 
 import pytest
 
 from provisio.llm import ranking
+from provisio.llm.queries import QUERIES
+from provisio.sources.tables import table
 
 CRIT = "query_id string, chunk_id string, criterion string, score double, place string"
 
@@ -49,6 +52,17 @@ def test_flows_equal_all_pairs(spark, threshold):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_clipped_query_equals_all_pairs(spark, sf):
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    criteria = ranking.criteria_from_retrieval(table(spark, sf, "retrieved"), table(spark, sf, "chunks"))
+    want = brute([(*r, "x") for r in criteria.select("query_id", "chunk_id", "criterion", "score").collect()], 0.25)
+    got = {(r.query_id, r.chunk_id): r.flow for r in QUERIES["p3_clipped"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    plain = {(r.query_id, r.chunk_id): r.flow for r in QUERIES["p3_flows"](spark, sf).collect()}
+    assert any(abs(got[k] - plain[k]) > 0.1 for k in want)
+
+
 def test_places_ties_and_weights(spark):
     rows = [("q", "b", "x", 2.0, ""), ("q", "a", "x", 2.0, ""), ("q", "c", "x", 1.0, ""), ("q", "c", "y", 5.0, ""), ("q", "a", "y", 1.0, ""), ("q", "b", "y", 1.0, "")]
     df = spark.createDataFrame(rows, CRIT)
