@@ -1,12 +1,14 @@
 """Long spans that stand word for word in more than one document.
 
-Relative Lempel-Ziv parsing against an index of the other documents. Every document is
+In place of a greedy relative Lempel-Ziv parse, fingerprints seed the matches, and these are
+extended along diagonals: a parse keeps one source for each factor and may cut a shared run at
+the factor before, while all pairs and all shared places are asked for. Every document is
 fingerprinted by the windows of ``width`` characters whose hash is smallest among
 ``length - width + 1`` neighbours, so a run of ``length`` characters gives the same fingerprint
-wherever it stands. A fingerprint in two documents starts a factor: the match is extended as far
-as it goes on both sides, character by character, and factors of at least ``length`` become
+wherever it stands. A fingerprint in two documents seeds a match, which is extended as far
+as it goes on both sides, character by character, and runs of at least ``length`` become
 spans. Each diagonal (place in one document less place in the other) is followed once, over the
-whole of both texts, so no run is lost between two factors.
+whole of both texts, so no run is lost between two seeds.
 
 Equal texts go through once. Fingerprints of a repeating stretch (one text, one hash, equal
 steps) are kept as one row with first place, step and count. Where stretches meet, both texts
