@@ -31,8 +31,6 @@ from provisio.runtime import cut, over_salts, with_salt
 
 CODEWORDS = 16
 SUB = 2
-#: Vectors of the sample that the codebooks are fitted to, a few hundred for each codeword.
-BOOK_ROWS = 6_000
 SALTS = 8
 
 
@@ -113,12 +111,12 @@ def _codes(x: np.ndarray, y: np.ndarray, books: np.ndarray, eta: float, sweeps:
     return codes
 
 
-def fit(sample: np.ndarray, cells: int, eta: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids and codebooks from unit vectors."""
+def fit(sample: np.ndarray, cells: int, eta: float, seed: int = 7, book_rows: int = 6_000) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids from unit vectors, and codebooks from at most ``book_rows`` of them."""
     rng = np.random.default_rng(seed)
     cells = max(1, min(cells, len(sample)))
     cent = _kmeans(sample, cells, 12, rng)
-    sample = sample[rng.permutation(len(sample))[:BOOK_ROWS]]
+    sample = sample[rng.permutation(len(sample))[:book_rows]]
     home = np.concatenate([(sample[i : i + 4096] @ cent.T).argmax(1) for i in range(0, len(sample), 4096)])
     y = sample - cent[home]
     n, d = sample.shape
@@ -171,11 +169,12 @@ def _top(q: np.ndarray, q_key: np.ndarray, m: np.ndarray, m_key: np.ndarray, dec
 
 def nearest(
     vectors: DataFrame, *, id_col: str, vec_col: str, time_col: str | None = None, dim: int = 64, k: int = 5, least: float = -1.0,
-    probes: int = 16, rerank: int = 32, cell_rows: int = 400, sample_rows: int = 20_000, block_rows: int = 8_192, eta: float = 4.0,
+    probes: int = 16, rerank: int = 32, cell_rows: int = 400, sample_rows: int = 20_000, book_rows: int = 6_000, block_rows: int = 8_192, eta: float = 4.0,
 ) -> DataFrame:
     """(id, neighbour, similarity, place) for the ``k`` most similar others with a cosine of at least ``least``.
 
-    The sample for fitting is the ``sample_rows`` vectors of smallest id hash; every vector is
+    The sample for fitting is the ``sample_rows`` vectors of smallest id hash, of which
+    ``book_rows``, a few hundred for each codeword, serve for the codebooks; every vector is
     indexed and searched for. There is a cell for each ``cell_rows`` vectors, but at most one
     for every 8 of the sample; ``probes`` is the least number of them that are looked in.
     """
@@ -191,7 +190,7 @@ def nearest(
     total = unit.count()
     rows = unit.select("_v", F.xxhash64("_id").alias("_o")).orderBy("_o").limit(sample_rows).select("_v").toArrow()
     sample = _matrix(rows.column(0).combine_chunks(), dim) if total else np.eye(1, dim, dtype=np.float32)
-    cent, books = fit(sample, min(max(1, total // cell_rows), max(1, sample_rows // 8)), eta)
+    cent, books = fit(sample, min(max(1, total // cell_rows), max(1, sample_rows // 8)), eta, book_rows=book_rows)
     model = spark.sparkContext.broadcast((cent, books))
     probes = probed(len(cent), probes)
 

@@ -82,3 +82,15 @@ def test_codes_lower_the_score_aware_loss():
         return ((e**2).sum(1) + 3 * (e * x).sum(1) ** 2).mean()
 
     assert loss(knn._codes(x, y, books, 4.0)) <= loss(knn._codes(x, y, books, 4.0, sweeps=0))
+
+
+def test_rows_for_codebooks(spark, monkeypatch):
+    seen = []
+    real = knn._codes
+    monkeypatch.setattr(knn, "_codes", lambda x, *a, **k: seen.append(len(x)) or real(x, *a, **k))
+    x = np.random.default_rng(0).normal(size=(400, 4)).astype(np.float32)
+    df = frame(spark, [(f"v{i}", v, 0) for i, v in enumerate(x)])
+    for rows in (100, 300):
+        seen.clear()
+        knn.nearest(df, id_col="chunk_id", vec_col="embedding", dim=4, cell_rows=50, book_rows=rows)
+        assert set(seen) == {rows}
