@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provisio.functions import citations as cite
@@ -330,6 +330,30 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.length("prompt").cast("long").alias("n_chars"), answer.is_refusal(F.col("context")).alias("refused"))
 
 
+def all_lists_fused(spark: SparkSession, d: str) -> DataFrame:
+    """The ``k_final`` best of each query over the lists of all retrievers, among chunks still in the corpus.
+
+    A row without a rank takes the place that its score has in its list, without a usable score the last.
+    """
+    rows = table(spark, d, "retrieved").join(corpus(spark, d).select("chunk_id"), "chunk_id", "left_semi")
+    score = F.when(~F.isnan("score") & (F.abs("score") < float("inf")), F.col("score"))
+    rows = rows.groupBy("query_id", "chunk_id", "retriever").agg(F.min("rank").alias("rank"), F.max(score).alias("_s"))
+    by_score = Window.partitionBy("query_id", "retriever").orderBy(F.desc_nulls_last("_s"), "chunk_id")
+    rows = rows.withColumn("rank", F.coalesce("rank", F.row_number().over(by_score)))
+    return fusion.reciprocal_rank_fusion([rows.filter(F.col("retriever") == x) for x in ("dense", "sparse", "dense+sparse")], k=PipelineConfig().k_final)
+
+
+@query
+def fused_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return answer.contexts(all_lists_fused(spark, d), corpus(spark, d))
+
+
+@query
+def fused_prompts(spark: SparkSession, d: str) -> DataFrame:
+    out = fused_contexts(spark, d).withColumn("prompt", answer.prompt(F.col("context"), F.concat(F.lit("question "), F.col("query_id"))))
+    return out.select("query_id", F.length("prompt").cast("long").alias("n_chars"), answer.is_refusal(F.col("context")).alias("refused"))
+
+
 @query
 def mention_extraction(spark: SparkSession, d: str) -> DataFrame:
     return answer.grounded_mentions(*spoken(spark, d)).select("query_id", "mention", F.col("ord").cast("long").alias("ord"))

@@ -1,3 +1,4 @@
+import math
 import os
 
 import pytest
@@ -5,6 +6,7 @@ from oracle import both
 
 from provisio.plans.queries import QUERIES
 from provisio.plans.sql import ORACLE_SQL
+from provisio.sources.corpus import corpus
 
 NAMES = ("rrf_fusion", "citation_parse", "citation_lookup", "flat_level_paths", "heading_segments", "grounded_citations", "citation_accuracy", "run_summary", "judge_json_parse", "resume_anti_join", "bm25_topk")
 
@@ -17,6 +19,31 @@ def test_query_equals_sql(spark, sf, name):
     assert got == want and got
 
 
+def test_contexts_take_all_retrievers(spark, sf):
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    chunks = {r.chunk_id: r for r in corpus(spark, sf).collect()}
+    lists = {}
+    for r in spark.read.parquet(f"{sf}/retrieved.parquet").collect():
+        if r.chunk_id in chunks:
+            ranks, scores = lists.setdefault((r.query_id, r.retriever), {}).setdefault(r.chunk_id, ([], []))
+            ranks += [r.rank] if r.rank is not None else []
+            scores += [r.score] if r.score is not None and math.isfinite(r.score) else []
+    best = {}
+    for (q, name), members in lists.items():
+        order = sorted(members, key=lambda c: (-max(members[c][1], default=-math.inf), c))
+        for c, (ranks, _) in members.items():
+            best.setdefault(q, {}).setdefault(c, {})[name] = min(ranks) if ranks else order.index(c) + 1
+    want = {}
+    for q, members in best.items():
+        names = ("dense", "sparse", "dense+sparse")
+        key = lambda c: (-round(sum(1 / (60 + r) for r in members[c].values()), 12), *(members[c].get(n, math.inf) for n in names), c)  # noqa: B023, E731
+        want[q] = "\n\n".join(f"[{chunks[c].citation or ''}]\n{chunks[c].text or ''}" for c in sorted(members, key=key)[:5])
+    got = {r.query_id: r.context for r in QUERIES["fused_contexts"](spark, sf).collect()}
+    assert got == want
+    assert {r.query_id for r in QUERIES["fused_prompts"](spark, sf).collect()} == set(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
