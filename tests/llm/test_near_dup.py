@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from provisio.llm import near_dup
@@ -43,11 +44,11 @@ def corpus(seed, n=90):
     return rows
 
 
-@pytest.mark.parametrize(("num", "den", "size", "cell_docs"), [(1, 2, 3, 250_000), (4, 5, 5, 250_000), (1, 2, 3, 20), (2, 3, 2, 7)])
-def test_pairs_equal_brute_force(spark, num, den, size, cell_docs):
+@pytest.mark.parametrize(("num", "den", "size", "how"), [(1, 2, 3, {}), (4, 5, 5, {}), (1, 2, 3, {"cell_rows": 1}), (2, 3, 2, {"hot_rows": 3}), (1, 2, 1, {"hot_rows": 2, "cell_rows": 20, "buffer_chars": 500})])
+def test_pairs_equal_brute_force(spark, num, den, size, how):
     rows = corpus(num * 10 + size)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = near_dup.near_duplicate_pairs(df, text_col="text", group_col="source_type", shingle=size, num=num, den=den, cell_docs=cell_docs)
+    got = near_dup.near_duplicate_pairs(df, text_col="text", group_col="source_type", shingle=size, num=num, den=den, **how)
     assert {tuple(r) for r in got.collect()} == brute(rows, size, num / den)
 
 
@@ -66,19 +67,56 @@ def test_links_without_pairs_of_copies(spark):
     assert len(out) == len({i for ids in texts.values() for i in ids})
 
 
-def test_part_join_equals_brute_force():
-    rng = np.random.default_rng(7)
-    for num, den in ((1, 2), (4, 5), (1, 3)):
-        sets = []
-        for _ in range(120):
-            base = set(rng.integers(0, 60, rng.integers(1, 25)).tolist())
-            sets.append(base)
-            if rng.random() < 0.5:
-                sets.append({x for x in base if rng.random() < 0.8} or base)
-        key = np.arange(1000, 1000 + len(sets))
-        a, b = near_dup.join_part(key, np.array([len(s) for s in sets]), np.array([x for s in sets for x in sorted(s)], np.uint32), num, den, most=50)
-        want = {(1000 + i, 1000 + j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) * den >= num * len(sets[i] | sets[j])}
-        assert set(zip(a.tolist(), b.tolist())) == want
+def met(texts, size, num, den, cells=3, hot_rows=10_000, most=50):
+    """Pairs of text numbers that meet in some cell and are not ruled out there, and the bytes routed."""
+    often = near_dup.frequencies(texts, size)
+    by_cell, sent = {}, 0
+    for a in range(0, len(texts), 40):  # as in several tasks
+        part = texts[a : a + 40]
+        for g, p, c, *cols in near_dup.route(np.arange(a, a + len(part)), ["g"] * len(part), part, size, num, den, often, cells, hot_rows):
+            by_cell.setdefault((g, p, c), []).append(cols)
+            sent += sum(map(len, cols))
+    out = set()
+    names = [x.split()[0] for x in near_dup.CELL.split(", ")][3:]
+    for rows in by_cell.values():
+        a, b = near_dup.join_cell(pa.table({n: pa.array(c, pa.binary()) for n, c in zip(names, zip(*rows))}), num, den, most=most)
+        out |= set(zip(a.tolist(), b.tolist()))
+    return out, sent
+
+
+def words(rnd, n, vocabulary):
+    return " ".join(f"w{rnd.randint(0, vocabulary)}" for _ in range(n))
+
+
+@pytest.mark.parametrize(("num", "den"), [(1, 2), (4, 5), (1, 3)])
+@pytest.mark.parametrize(("longest", "hot_rows"), [(30, 10_000), (30, 5), (1500, 10_000)])
+def test_cells_lose_no_similar_texts(num, den, longest, hot_rows):
+    rnd = random.Random(longest + num)
+    texts = []
+    for _ in range(60):
+        base = words(rnd, rnd.randint(1, longest), 60 if longest < 100 else 5000).split()
+        texts.append(" ".join(base))
+        if rnd.random() < 0.7:  # some words left out
+            texts.append(" ".join(w for w in base if rnd.random() < 0.8) or base[0])
+    texts = list(dict.fromkeys(texts))
+    sets = [set(t.split()) for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) * den >= num * len(sets[i] | sets[j])}
+    found, _ = met(texts, 1, num, den, hot_rows=hot_rows)
+    assert want <= found and len(want) > 5
+
+
+def test_routed_bytes_hold_with_more_cells():
+    rnd = random.Random(3)
+    texts = [words(rnd, 125, 30_000) for _ in range(800)]
+    sent = [met(texts, 3, 1, 2, cells=c)[1] for c in (4, 64, 4096)]
+    assert sent[1] < 2 * sent[0] and sent[2] < 2.4 * sent[0]
+
+
+def test_whole_shingles():
+    texts = ["a b c d", "", "a b", "c d a b c", "a b a b a b"]
+    got = [set(x.tolist()) for x in near_dup.whole_shingles(texts, 3)]
+    assert [len(x) for x in got] == [2, 0, 0, 3, 2] and len(got[0] & got[3]) == 1
+    assert all(len(x) == 0 for x in near_dup.whole_shingles(["a"], 3))
 
 
 def test_words_and_hashes():
