@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.llm.word_bytes import mix, word_hashes
@@ -48,21 +48,24 @@ KEY_BYTES = 5
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-def shingle_slots(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text index * PARTS + part, token), sorted, of the distinct word shingles of up to 2**20 texts.
-
-    Shingles of one text are told apart by 44 bits; a token is 32 of these.
-    """
+def _shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash of each run of words, text of its first word, is it within that text)."""
     h, lengths = word_hashes(texts)
-    n = len(h) - size + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    n = max(0, len(h) - size + 1)
     own = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
     acc = np.zeros(n, np.uint64)
     for j in range(size):
         acc = mix(acc * ODD[0] + h[j : j + n] * ODD[1] + ODD[2])
-    whole = own[:n] == own[size - 1 :]
-    packed = own[:n][whole] << np.uint64(44) | acc[whole] >> np.uint64(20)
+    return acc, own[:n], own[:n] == own[size - 1 :] if n else np.zeros(0, bool)
+
+
+def shingle_slots(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text index * PARTS + part, token), sorted, of the distinct word shingles of up to 2**20 texts.
+
+    Shingles of one text are told apart by 44 bits; a token is 32 of these.
+    """
+    acc, own, whole = _shingles(texts, size)
+    packed = own[whole] << np.uint64(44) | acc[whole] >> np.uint64(20)
     packed.sort()
     if len(packed):
         packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
@@ -81,9 +84,10 @@ def _needed(sizes: np.ndarray, over: int, under: int) -> np.ndarray:
 
 
 def frequencies(texts: list[str], size: int) -> np.ndarray:
-    """How many shingles of the texts fall on each place of the count table."""
-    _, token = shingle_slots(texts, size)
-    return np.bincount(token >> np.uint32(32 - TABLE_BITS), minlength=1 << TABLE_BITS)
+    """How many shingles of the texts fall on each place of the count table, by the first bits of their tokens."""
+    acc, _, whole = _shingles(texts, size)
+    at = acc[whole] >> np.uint64(52 - TABLE_BITS) & np.uint64((1 << TABLE_BITS) - 1)
+    return np.bincount(at.astype(np.int64), minlength=1 << TABLE_BITS)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -156,7 +160,11 @@ def route(key: np.ndarray, group: list, texts: list[str], size: int, num: int, d
         cold = blocks <= 1
         entry, owner, cell = np.r_[entry[cold], entry[copy]], np.r_[owner[cold], owner[copy]], np.r_[cell[cold], apart]
     where = kind[doc[owner]] * PARTS + part[owner]
-    order = np.lexsort((entry, cell, where))
+    if len(hot):
+        order = np.lexsort((entry, cell, where))
+    else:  # in one number
+        bits = max(1, len(slot).bit_length())
+        order = np.argsort((where * cells + cell) << bits | entry, kind="stable")
     entry, owner, cell, where = entry[order], owner[order], cell[order], where[order]
     new = np.r_[True, (cell[1:] != cell[:-1]) | (where[1:] != where[:-1])]
     head = np.flatnonzero(new | np.r_[True, owner[1:] != owner[:-1]])  # a text in a cell
@@ -210,7 +218,10 @@ def join_cell(table: pa.Table, num: int, den: int, most: int = 250_000) -> tuple
     slot = token[held] << low | e_from[held]
     smallest = np.searchsorted(size, as_large)
     probe = token[by_token] << low | e_from[by_token]
-    who, lo, hi = by_token, np.searchsorted(slot, probe - e_from[by_token] + smallest[e_from[by_token]]), np.searchsorted(slot, probe)
+    rest = size[e_from] - place  # shingles from here on, of which a partner must share enough
+    who, x = by_token, e_from[by_token]
+    largest = np.searchsorted(size, rest[by_token] * (num + den) // num - size[x], "right")
+    lo, hi = (np.searchsorted(slot, probe - x + to) for to in (smallest[x], np.minimum(x, largest)))
     some = np.flatnonzero(hi > lo)
     who, lo, meets = who[some], lo[some], (hi - lo)[some]
     if not len(who):
@@ -218,7 +229,6 @@ def join_cell(table: pa.Table, num: int, den: int, most: int = 250_000) -> tuple
     upto = np.cumsum(meets)
     y_of, x_of = e_from[held], e_from[who]
     near = sketch[y_of]
-    rest = size[e_from] - place  # shingles from here on
     rest_y = rest[held]
     most_apart = np.minimum(2 * size * (den - num) // (den + num), 255).astype(np.uint8)  # by a partner no larger
     # bitmaps of the prefixes in which a text needs so many shared shingles, and how many shingles these can't tell apart
@@ -291,12 +301,12 @@ def _buffers(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[np
 
 def similar_texts(
     docs: DataFrame, *, id_col: str, text_col: str, group_col: str | None = None, shingle: int = 5, num: int = 4, den: int = 5,
-    cell_rows: int = 1_000_000, least_cells: int = 4, hot_rows: int = 200_000, buffer_chars: int = 8_000_000,
+    cell_rows: int = 2_000_000, least_cells: int = 3, hot_rows: int = 200_000, buffer_chars: int = 8_000_000,
 ) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members) of texts of one group whose shingle sets have a Jaccard similarity of num/den or more.
+    """(pairs, texts) of texts of one group whose shingle sets have a Jaccard similarity of num/den or more.
 
-    pairs: (key_a, key_b, jaccard) of different texts, key_a < key_b. members: (key, key2, id), the
-    ids that carry each text; copies of a text share a key. There are so many cells for each part
+    pairs: (key_a, key_b, jaccard) of different texts, key_a < key_b. texts: (_g, _key, _key2, _id, _t),
+    the rows that carry each text; copies share a key. There are so many cells for each part
     that one holds about ``cell_rows`` rare shingles of all groups, and ``least_cells`` at least.
     """
     spark = docs.sparkSession
@@ -361,44 +371,45 @@ def similar_texts(
             yield pa.RecordBatch.from_arrays([b.column(0).take(sel), b.column(1).take(sel), pa.array(value, pa.float64())], names=["key_a", "key_b", "jaccard"])
 
     pairs = both.mapInArrow(verify, "key_a long, key_b long, jaccard double")
-    long_enough = F.size(F.regexp_extract_all(F.col("_t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) >= shingle
-    members = keyed.filter(long_enough).select("_key", "_key2", "_id").distinct()
-    return pairs, members
+    return pairs, keyed
+
+
+def _has_shingle(text: Column, size: int) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) >= size
 
 
 def whole_shingles(texts: list[str], size: int) -> list[np.ndarray]:
     """The distinct 64-bit hashes of each text's shingles."""
-    h, lengths = word_hashes(texts)
-    n = max(0, len(h) - size + 1)
-    acc = np.zeros(n, np.uint64)
-    for j in range(size):
-        acc = mix(acc * ODD[0] + h[j : j + n] * ODD[1] + ODD[2])
-    ends = np.cumsum(lengths)
-    return [np.unique(acc[max(0, e - k) : max(0, e - size + 1)]) if k >= size else acc[:0] for e, k in zip(ends, lengths)]
+    acc, own, whole = _shingles(texts, size)
+    acc, own = acc[whole], own[whole]
+    edge = np.searchsorted(own, np.arange(len(texts) + 1, dtype=np.uint64))
+    return [np.unique(acc[a:b]) for a, b in zip(edge[:-1], edge[1:])]
 
 
-def near_duplicate_pairs(docs: DataFrame, *, id_col: str = "chunk_id", **how) -> DataFrame:
+def near_duplicate_pairs(docs: DataFrame, *, id_col: str = "chunk_id", shingle: int = 5, **how) -> DataFrame:
     """(id_a, id_b): every pair of different ids with similar or equal texts, id_a < id_b."""
-    pairs, members = similar_texts(docs, id_col=id_col, **how)
+    pairs, keyed = similar_texts(docs, id_col=id_col, shingle=shingle, **how)
     pairs = cut(pairs)
     keys = pairs.select(F.explode(F.array("key_a", "key_b")).alias("_key")).distinct()
-    ids = members.join(broadcast_if_small(cut(keys), 2_000_000), "_key", "left_semi").select("_key", "_id")
+    ids = keyed.select("_key", "_id").join(broadcast_if_small(cut(keys), 2_000_000), "_key", "left_semi").distinct()
     a, b = f"{id_col}_a", f"{id_col}_b"
     linked = pairs.join(ids.select(F.col("_key").alias("key_a"), F.col("_id").alias("_x")), "key_a").join(ids.select(F.col("_key").alias("key_b"), F.col("_id").alias("_y")), "key_b").select("_x", "_y")
-    many = cut(members.groupBy("_key", "_key2").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key", "_key2"))
-    copied = members.join(broadcast_if_small(many, 2_000_000), ["_key", "_key2"], "left_semi")
+    many = cut(keyed.groupBy("_key", "_key2").agg(F.min("_id").alias("_i"), F.max("_id").alias("_j")).filter("_i != _j").select("_key", "_key2", "_j"))
+    of_copy = F.when(F.col("_j").isNotNull(), _has_shingle(F.col("_t"), shingle))  # after the join
+    copied = keyed.join(broadcast_if_small(many, 2_000_000), ["_key", "_key2"]).filter(of_copy).select("_key", "_key2", "_id").distinct()
     copies = copied.select("_key", "_key2", F.col("_id").alias("_x")).join(copied.select("_key", "_key2", F.col("_id").alias("_y")), ["_key", "_key2"]).filter("_x < _y").select("_x", "_y")
     every = linked.filter("_x != _y").unionByName(copies)
     return every.select(F.least("_x", "_y").alias(a), F.greatest("_x", "_y").alias(b)).distinct()
 
 
-def near_duplicate_links(docs: DataFrame, *, id_col: str = "chunk_id", **how) -> DataFrame:
+def near_duplicate_links(docs: DataFrame, *, id_col: str = "chunk_id", shingle: int = 5, **how) -> DataFrame:
     """(id, class_id, copies, links): one row for each document that takes part.
 
     ``class_id`` is the smallest id of its text, ``copies`` the number of ids with that text,
     ``links`` the number of other texts similar to it. Copies aren't expanded into pairs.
     """
-    pairs, members = similar_texts(docs, id_col=id_col, **how)
+    pairs, keyed = similar_texts(docs, id_col=id_col, shingle=shingle, **how)
+    members = keyed.filter(_has_shingle(F.col("_t"), shingle)).select("_key", "_key2", "_id").distinct()
     links = pairs.select(F.explode(F.array("key_a", "key_b")).alias("_key")).groupBy("_key").agg(F.count("*").alias("links"))
     classes = members.groupBy("_key", "_key2").agg(F.min("_id").alias("class_id"), F.count("*").alias("copies")).join(links, "_key", "left")
     out = members.join(classes, ["_key", "_key2"])
