@@ -1,21 +1,22 @@
-"""Long spans that stand word for word in more than one document.
-
-In place of a greedy relative Lempel-Ziv parse, fingerprints seed the matches, and these are
-extended along diagonals: a parse keeps one source for each factor and may cut a shared run at
-the factor before, while all pairs and all shared places are asked for. Every document is
-fingerprinted by the windows of ``width`` characters whose hash is smallest among
-``length - width + 1`` neighbours, so a run of ``length`` characters gives the same fingerprint
-wherever it stands. A fingerprint in two documents seeds a match, which is extended as far
-as it goes on both sides, character by character, and runs of at least ``length`` become
-spans. Each diagonal (place in one document less place in the other) is followed once, over the
-whole of both texts, so no run is lost between two seeds.
-
-Equal texts go through once. Fingerprints of a repeating stretch (one text, one hash, equal
-steps) are kept as one row with first place, step and count. Where stretches meet, both texts
-repeat with one period, and on every diagonal through both the run is just what they have in
-common, save where both begin or both end; these two diagonals are followed like all others, and
-of the rest the intervals that the runs cover together are worked out. Null texts and texts
-shorter than ``length`` have no spans. Offsets count code points.
+"""Long spans that stand word for word in more than one document: relative Lempel-Ziv factors.
+
+The unit is the gram, a run of ``length`` characters: a shared span of n characters is
+n - length + 1 shared grams in a row. A gram belongs to the reference block of the ``width``
+characters in it whose hash is smallest, so equal grams are in one block wherever they stand. A document
+is factored against every block that it has a stretch in (a stretch is a row of grams of one
+block): from left to right, the longest row of grams that each stand in another document of the
+block is a factor. As factors are made of whole grams, each is long enough to be a duplicate span, and
+the factors of neighbouring blocks join at their boundaries. A factor keeps all documents that hold a
+gram, not one source as in data compression, because every pair and every shared place is asked for.
+
+Most blocks hold one document only: the first pass sends the block and the document alone, and
+keeps the blocks with several. Only documents in these are read again, and the hashes of the grams
+there are all that is compared, so what is moved follows the shared characters and not the pairs of
+documents. Blocks of more than ``hot_rows`` stretches aren't gathered: their grams are counted as rows.
+
+A stretch that repeats itself has few different grams; it is kept as one period and the number of
+grams. Equal texts go through once. Null texts and texts shorter than ``length`` have no
+spans. Offsets count code points. Grams are told apart by two hashes, of 64 bits each.
 """
 
 from __future__ import annotations
@@ -29,237 +30,257 @@ from pyspark.sql import functions as F
 
 from provisio.llm.tokenize import texts_of
 from provisio.llm.word_bytes import BASE, mix, powers
-from provisio.runtime import broadcast_if_small, cut
+from provisio.runtime import broadcast_if_small, cut, over_salts, with_salt
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+SALTS = 8
+STRETCH = "_h long, _key long, _at int, _count int, _grams binary"
 
 
-def _extreme(h: np.ndarray, width: int, of: np.ufunc, fill: np.uint64) -> np.ndarray:
-    """For each place, the extreme of the ``width`` values from there on; ``len(h) - width + 1`` of them."""
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """For each place, the least of the ``width`` values from there on; ``len(h) - width + 1`` of them."""
     n = len(h)
     rows = -(-n // width)
-    grid = np.full(rows * width, fill, np.uint64)
+    grid = np.full(rows * width, TOP, np.uint64)
     grid[:n] = h
     grid = grid.reshape(rows, width)
-    ahead = of.accumulate(grid, axis=1).ravel()
-    behind = of.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return of(behind[: n - width + 1], ahead[width - 1 : n])
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def fingerprints(texts: list[str], width: int, length: int) -> tuple[np.ndarray, ...]:
-    """(text number, place, hash, hash before, hash after, step, count, further) of the fingerprints of the texts, each at least ``length`` long.
+def stretches(texts: list[str], width: int, length: int) -> tuple[np.ndarray, ...]:
+    """(text number, first gram, number of grams, block) of the stretches of texts, each at least ``length`` long.
 
-    The hashes before and after are those of the ``beside(width, length)`` characters next to the
-    window, 0 where the text has fewer. A hash at ``count`` places, each ``step`` after the last, is
-    one row; ``further`` marks more rows of it, for the places where a hash beside it changes (a
-    hash that stays is 0 there).
+    Then the hashes of the grams of all texts, and where those of each text begin.
     """
-    window = length - width + 1
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     n = len(chars)
     power, back = powers(BASE, n + 1), powers(pow(BASE, -1, 1 << 64), n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((chars + np.uint32(7)) * power[:n], out=total[1:])
-    h = mix((total[width:] - total[:-width]) * back[: n - width + 1])
+    hashed = mix((total[width:] - total[:-width]) * back[: n - width + 1])
+    least = _least(hashed, length - width + 1)  # windows over the end of a text are in no gram that counts
     ends = np.cumsum(sizes)
-    across = (ends - width + 1)[:, None] + np.arange(width - 1)[None]
-    across = across[across < len(h)]
-    h[across] = TOP  # windows over the end of a text
-    if len(h) < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64, bool))
-    least = _extreme(h, window, np.minimum, TOP)
-    # a place counts if it is the least of any window around it
-    pad = np.zeros(window - 1, np.uint64)
-    best = _extreme(np.r_[pad, least, pad], window, np.maximum, np.uint64(0))
-    at = np.flatnonzero((best == h) & (h != TOP))
-    doc = np.searchsorted(ends, at, "right")
-    value = h[at]
-    order = np.lexsort((at, value, doc))
-    doc, at, value = doc[order], at[order], value[order]
-    same = (doc[1:] == doc[:-1]) & (value[1:] == value[:-1])
-    step = np.where(same & (np.diff(at) <= width), np.diff(at), 0)  # to the next place, 0 if it lies too far off
-    first = np.ones(len(at), bool)
-    first[1:] = step == 0
-    first[2:] |= (step[:-1] > 0) & (step[1:] != step[:-1])
-    c = beside(width, length)
-    starts = ends - sizes
-
-    def between(a: np.ndarray, b: np.ndarray, there: np.ndarray) -> np.ndarray:
-        a, b = np.where(there, a, 0), np.where(there, b, 0)
-        return np.where(there, mix((total[b] - total[a]) * back[a]) | np.uint64(1), np.uint64(0))
-
-    before = between(at - c, at, at - c >= starts[doc])
-    after = between(at + width, at + width + c, at + width + c <= ends[doc])
-    head = np.flatnonzero(first)
-    count = np.diff(np.r_[head, len(at)])
-    step = np.where(count > 1, np.r_[step, 0][head], 0)
-    of = np.cumsum(first) - 1
-    before = np.where(first | np.r_[True, before[1:] != before[:-1]], before, 0)
-    after = np.where(first | np.r_[True, after[1:] != after[:-1]], after, 0)
-    rows = np.flatnonzero(first | (before != 0) | (after != 0))
-    of = of[rows]
-    return doc[rows], (at - starts[doc])[head[of]], value[rows], before[rows], after[rows], step[of], count[of], ~first[rows]
-
-
-def beside(width: int, length: int) -> int:
-    """A run of ``length`` characters around a window goes on this far on one side of it at least."""
-    return -(-(length - width) // 2)
-
-
-def common_runs(a: np.ndarray, b: np.ndarray, diagonals: list[int], length: int) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, length) of the maximal equal runs of at least ``length`` on the diagonals."""
-    out = []
-    for d in diagonals:
-        x, y = a[max(0, d) :], b[max(0, -d) :]
-        n = min(len(x), len(y))
-        edge = np.flatnonzero(np.diff(np.r_[False, x[:n] == y[:n], False].astype(np.int8)))
-        begin, size = edge[0::2], edge[1::2] - edge[0::2]
-        for s, z in zip(begin[size >= length], size[size >= length]):
-            out.append((int(s) + max(0, d), int(s) + max(0, -d), int(z)))
-    return out
-
-
-def _repeating(x: np.ndarray, at: int, step: int) -> tuple[int, int]:
-    """(start, end) of the longest stretch around the place that repeats every ``step`` characters."""
-    turns = np.flatnonzero(x[:-step] != x[step:])
-    i = int(np.searchsorted(turns, at))
-    return int(turns[i - 1]) + 1 if i else 0, int(turns[i]) + step if i < len(turns) else len(x)
-
-
-def stretches_met(a: np.ndarray, b: np.ndarray, seeds: list[dict[str, int]], length: int, width: int) -> tuple[set[int], set[tuple[int, int, int, int]]]:
-    """(diagonals to follow, intervals covered) where fingerprints meet of which one at least repeats.
-
-    seeds: first place, step and count in both. An interval is (start in a, length in a, start in
-    b, length in b), each covered by runs of at least ``length`` that stand in the other's.
-    """
-    diagonals: set[int] = set()
-    covered: set[tuple[int, int, int, int]] = set()
-    for e in seeds:
-        step = min(s for s in (e["sa"], e["sb"]) if s)
-        areas = []
-        for x, at, s, n in ((a, e["a"], e["sa"], e["na"]), (b, e["b"], e["sb"], e["nb"])):
-            own: list[tuple[int, int, int]] = []
-            for place in range(at, at + s * (n - 1) + 1, s) if s else [at]:
-                if not own or place + width > own[-1][2]:
-                    own.append((place, *_repeating(x, place, step)))
-                if s == step:
-                    break  # all in one
-            areas.append(own)
-        for p, a1, a2 in areas[0]:
-            for q, b1, b2 in areas[1]:
-                if not np.array_equal(a[p : p + width], b[q : q + width]):
-                    continue
-                diagonals.update(d for d in (a1 - b1, a2 - b2) if (d - p + q) % step == 0)
-                low, high = a1 + length - b2, a2 - b1 - length
-                low, high = low + (p - q - low) % step, high - (high - p + q) % step
-                if min(a2 - a1, b2 - b1) >= length and low <= high:
-                    sa, sb = max(a1, b1 + low), max(b1, a1 - high)
-                    covered.add((sa, min(a2, b2 + high) - sa, sb, min(b2, a2 - low) - sb))
-    return diagonals, covered
-
-
-def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 250, width: int = 160, hot_docs: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(spans, members). spans: (key_a, key_b, start_a, length_a, start_b, length_b) of texts, key_a < key_b.
-
-    The lengths differ only where repeating stretches meet: there a span is what their runs cover.
-    members: (key, key2, id, n_chars), the ids that carry each text. A fingerprint in more than
-    ``hot_docs`` places is matched together with what stands before or after it, one of which a
-    run of ``length`` must share, so a widespread shorter passage doesn't pair all its documents.
-    """
+    counts = sizes - length + 1
+    at = np.arange(counts.sum()) + np.repeat(ends - sizes - (np.cumsum(counts) - counts), counts)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    block = least[at]
+    grams = mix((total[at + length] - total[at]) * back[at])
+    first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])])
+    begins = np.cumsum(counts) - counts
+    return doc[first], first - begins[doc[first]], np.diff(np.r_[first, len(at)]), block[first], grams, begins
+
+
+def periods(grams: np.ndarray, most: int) -> list[tuple[int, int, np.ndarray]]:
+    """(first gram, number of grams, grams kept) of a stretch; the part of a long one that repeats itself keeps one period."""
+    n = len(grams)
+    again = np.flatnonzero(grams[:-1] == grams[-1]) if n > most else []
+    if not len(again):
+        return [(0, n, grams)]
+    step = n - 1 - int(again[-1])
+    other = np.flatnonzero(grams[step:] != grams[:-step])
+    s = int(other[-1]) + 1 if len(other) else 0
+    if n - s <= 2 * step:
+        return [(0, n, grams)]
+    return ([(0, s, grams[:s])] if s else []) + [(s, n - s, grams[s : s + step])]
+
+
+def factors(key: np.ndarray, at: np.ndarray, count: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first gram, number of grams) of the factors of a block's stretches against each other."""
+    row, kept, index = _indexed(key, grams)
+    shared = np.zeros(len(index), bool)
+    order = np.lexsort((key[row], index))
+    i, k = index[order], key[row][order]
+    edge = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    several = np.minimum.reduceat(k, edge) != np.maximum.reduceat(k, edge)
+    shared[order] = np.repeat(several, np.diff(np.r_[edge, len(i)]))
+    return _rows_of(shared, kept, at, count)
+
+
+def _indexed(key: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each gram, grams kept of each row, gram)."""
+    kept = np.fromiter(map(len, grams), np.int64, len(grams))
+    return np.repeat(np.arange(len(key)), kept), kept, np.concatenate(grams)
+
+
+def _rows_of(shared: np.ndarray, kept: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of shared grams, periods written out."""
+    ends = np.cumsum(kept)
+    out: list[tuple[np.ndarray, ...]] = []
+    plain = np.flatnonzero(kept == count)
+    if len(plain):
+        where = np.arange(kept[plain].sum()) + np.repeat((ends - kept)[plain] - (np.cumsum(kept[plain]) - kept[plain]), kept[plain])
+        row = np.repeat(plain, kept[plain])
+        gram = at[row] + where - (ends - kept)[row]
+        row, gram = row[shared[where]], gram[shared[where]]
+        out.append(_runs(row, gram))
+    for r in np.flatnonzero(kept != count):
+        own = np.resize(shared[ends[r] - kept[r] : ends[r]], count[r])
+        gram = at[r] + np.flatnonzero(own)
+        out.append(_runs(np.full(len(gram), r), gram))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _runs(row: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1] + 1)]) if len(row) else np.zeros(0, np.int64)
+    return row[first], gram[first], np.diff(np.r_[first, len(row)])
+
+
+def partners(key: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of keys that hold a gram in common, smaller key first; each set of keys is paired once."""
+    row, _, index = _indexed(key, grams)
+    one = np.unique(np.stack([index.view(np.int64), key[row]]), axis=1)
+    edge = np.flatnonzero(np.r_[True, one[0][1:] != one[0][:-1]])
+    sets = {tuple(s.tolist()) for s in np.split(one[1], edge[1:]) if len(s) > 1}
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in sets:
+        s = np.array(s, np.int64)
+        i, j = np.triu_indices(len(s), 1)
+        a.append(s[i])
+        b.append(s[j])
+    pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+    return pair[0], pair[1]
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    key, at, count = (table.column(c).to_numpy().astype(np.int64) for c in ("_key", "_at", "_count"))
+    return key, at, count, [np.frombuffer(b, "<u8") for b in table.column("_grams").to_pylist()]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """(_id, _t, _key, _key2) of the texts of at least ``length`` characters."""
+    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.col("_id").isNotNull() & (F.length("_t") >= length))
+    return keyed.withColumns({"_key": F.xxhash64("_t"), "_key2": F.xxhash64(F.lit(1), "_t")})
+
+
+def block_stretches(keyed: DataFrame, length: int, width: int) -> DataFrame:
+    """(_h, _key, _at, _count, _grams): the stretches of the blocks that several texts are in."""
     if not 1 <= width <= length:
         raise ValueError("width must be between 1 and length")
-    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.col("_id").isNotNull() & (F.length("_t") >= length))
-    keyed = keyed.withColumns({"_key": F.xxhash64("_t"), "_key2": F.xxhash64(F.lit(1), "_t")})
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             keys, texts, chars = [], [], 0
             for last, (k, t) in enumerate(zip(b.column(0).to_pylist(), texts_of(b.column(1))), 1 - b.num_rows):
-                if k not in seen:
+                if k not in seen:  # copies in this task once
                     seen.add(k)
                     keys.append(k)
                     texts.append(t)
                     chars += len(t)
                 if texts and (chars >= 2_000_000 or last == 0):
-                    doc, at, h, before, after, step, count, further = fingerprints(texts, width, length)
-                    sides = [pa.array(x.astype(np.uint32).view(np.int32), mask=x == 0) for x in (before, after)]
-                    places = [pa.array(x.astype(np.int32)) for x in (at, step, count)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(np.array(keys, np.int64)[doc]), *places, *sides, pa.array(further)],
-                        names=["_h", "_key", "_at", "_step", "_count", "_l", "_r", "_further"],
-                    )
+                    doc, _, _, block, *_ = stretches(texts, width, length)
+                    yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(np.array(keys, np.int64)[doc])], names=["_h", "_key"])
                     keys, texts, chars = [], [], 0
             if len(seen) > 1_000_000:
                 seen = set()
 
-    prints = keyed.select("_key", "_t").mapInArrow(mark, "_h long, _key long, _at int, _step int, _count int, _l int, _r int, _further boolean").repartition("_h").distinct()
-    # most fingerprints are met once; what is left is small and used several times
-    prints = cut(prints.withColumn("_n", F.count_if(~F.col("_further")).over(Window.partitionBy("_h"))).filter("_n > 1"))
-
-    def meeting(rows: DataFrame) -> DataFrame:
-        a, b = (rows.select("_h", F.col("_key").alias(f"key_{x}"), F.col("_at").alias(x), F.col("_step").alias(f"s{x}"), F.col("_count").alias(f"n{x}")) for x in "ab")
-        once = (F.col("sa") == 0) & (F.col("sb") == 0)
-        seeds = F.when(~once, F.struct("a", "sa", "na", "b", "sb", "nb"))
-        return a.join(b, "_h").filter("key_a < key_b").select("key_a", "key_b", F.when(once, F.col("a") - F.col("b")).alias("_d"), seeds.alias("_s"))
-
-    hot = F.col("_n") > (hot_docs if beside(width, length) else 2**62)
-    sides = F.array(*(F.when(F.col(c).isNotNull(), F.xxhash64("_h", F.lit(c), c)) for c in ("_l", "_r")))
-    split_up = prints.filter(hot).withColumn("_h", F.explode(sides)).filter("_h is not null")
-    met = meeting(prints.filter(~hot & ~F.col("_further"))).unionByName(meeting(split_up))
-    met = cut(met.groupBy("key_a", "key_b").agg(F.collect_set("_d").alias("_d"), F.collect_set("_s").alias("_s")))
-    wanted = cut(met.select(F.explode(F.array("key_a", "key_b")).alias("_key")).distinct())
-    texts = keyed.select("_key", "_t").join(broadcast_if_small(wanted, 2_000_000), "_key", "left_semi").groupBy("_key").agg(F.first("_t").alias("_t"))
-    both = met.join(texts.select(F.col("_key").alias("key_a"), F.col("_t").alias("_ta")), "key_a")
-    both = both.join(texts.select(F.col("_key").alias("key_b"), F.col("_t").alias("_tb")), "key_b").select("key_a", "key_b", "_d", "_s", "_ta", "_tb")
-
-    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    prints = keyed.select("_key", "_t").mapInArrow(mark, "_h long, _key long")
+    several = cut(prints.groupBy("_h").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).filter("_a != _b").select("_h"))
+    small = broadcast_if_small(several, 2_000_000)
+    found = prints.join(small, "_h", "left_semi") if small is not several else with_salt(prints, "_key", SALTS).join(over_salts(several, SALTS), ["_h", "_salt"], "left_semi").drop("_salt")
+    found = cut(found.distinct())
+    wanted = broadcast_if_small(found, 1_000_000)
+    wanted = (F.broadcast if wanted is not found else lambda x: x)(found.groupBy("_key").agg(F.collect_list("_h").alias("_hs")))
+    texts = keyed.select("_key", "_t").join(wanted, "_key").groupBy("_key").agg(F.first(F.struct("_hs", "_t")).alias("_x")).select("_key", "_x._hs", "_x._t")
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for key, wanted, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2))):
+                _, at, count, block, grams, _ = stretches([text], width, length)
+                for i in np.flatnonzero(np.isin(block.view(np.int64), wanted)):
+                    for a, n, kept in periods(grams[at[i] : at[i] + count[i]], length - width + 1):
+                        out.append((int(block[i].view(np.int64)), key, int(at[i]) + a, n, kept.tobytes()))
+            cols = list(zip(*out)) if out else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in STRETCH.split(", ")])
+
+    return texts.mapInArrow(cut_out, STRETCH)
+
+
+def _hot(rows: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The stretches of blocks up to ``hot_rows`` of them, and one row for each gram of the others."""
+    many = cut(rows.groupBy("_h").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select("_h"))
+    many = broadcast_if_small(many, 1_000_000)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, runs = [], []
-            for i, (d, s, x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), texts_of(b.column(4)), texts_of(b.column(5)))):
-                x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
-                more, covered = stretches_met(x, y, s, length, width)
-                runs += covered
-                runs += [(p, n, q, n) for p, q, n in common_runs(x, y, list(more.union(d)), length)]
-                row += [i] * (len(runs) - len(row))
-            at = pa.array(row, pa.int64())
-            cols = list(zip(*runs)) if runs else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(c, pa.int32()) for c in cols)], names=["key_a", "key_b", "start_a", "length_a", "start_b", "length_b"])
-
-    spans = both.mapInArrow(factor, "key_a long, key_b long, start_a int, length_a int, start_b int, length_b int")
-    members = keyed.select("_key", "_key2", "_id", F.length("_t").alias("n_chars")).distinct()
-    return spans, members
-
-
-def sharing_pairs(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+            for i in range(b.num_rows):
+                grams = np.frombuffer(b.column(4)[i].as_py(), "<i8")
+                own = b.slice(i, 1).take(pa.array(np.zeros(len(grams), np.int64)))
+                yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(np.full(len(grams), len(grams), np.int32)), pa.array(np.arange(len(grams), dtype=np.int32)), pa.array(grams)], names=["_h", "_key", "_at", "_count", "_kept", "_i", "_g"])
+
+    return rows.join(many, "_h", "left_anti"), rows.join(many, "_h", "left_semi").mapInArrow(spell, "_h long, _key long, _at int, _count int, _kept int, _i int, _g long")
+
+
+def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 250, width: int = 160, hot_rows: int = 20_000) -> DataFrame:
+    """(key, start, end): the factors of each text, ``xxhash64`` of which is the key; they may overlap or touch."""
+    rows = cut(block_stretches(_texts(docs, id_col, text_col, length), length, width))
+    cold, grams = _hot(rows, hot_rows)
+    span = "key long, start int, end int"
+
+    def spans(key: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[pa.Array]:
+        return [pa.array(key, pa.int64()), pa.array(first, pa.int32()), pa.array(first + count - 1 + length, pa.int32())]
+
+    def factor(table: pa.Table) -> pa.Table:
+        key, at, count, held = _arrays(table)
+        row, first, n = factors(key, at, count, held)
+        return pa.Table.from_arrays(spans(key[row], first, n), names=["key", "start", "end"])
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, at, count, kept = (b.column(i).to_numpy().astype(np.int64) for i in range(4))
+            shared = np.zeros(int(kept.sum()), bool)
+            for begin, own in zip(np.cumsum(kept) - kept, b.column(4).to_pylist()):
+                shared[begin + np.array(own, np.int64)] = True
+            row, first, n = _rows_of(shared, kept, at, count)
+            yield pa.RecordBatch.from_arrays(spans(key[row], first, n), names=["key", "start", "end"])
+
+    several = grams.groupBy("_h", "_g").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).filter("_a != _b").select("_h", "_g")
+    again = with_salt(grams, "_key", SALTS).join(over_salts(several, SALTS), ["_h", "_g", "_salt"], "left_semi")
+    again = again.groupBy("_key", "_at", "_count", "_kept", "_h").agg(F.collect_set("_i").alias("_is")).drop("_h")
+    return cold.groupBy("_h").applyInArrow(factor, span).unionByName(again.mapInArrow(join_up, span))
+
+
+def sharing_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 250, width: int = 160, hot_rows: int = 20_000) -> DataFrame:
     """(id_a, id_b): every pair of different ids whose texts share a span, id_a < id_b."""
-    spans, members = shared_spans(docs, id_col=id_col, **how)
-    pairs = cut(spans.select("key_a", "key_b").distinct())
-    ids = members.select("_key", "_key2", "_id")
+    keyed = _texts(docs, id_col, text_col, length)
+    rows = cut(block_stretches(keyed, length, width))
+    cold, grams = _hot(rows, hot_rows)
+
+    def pair(table: pa.Table) -> pa.Table:
+        key, _, _, held = _arrays(table)
+        a, b = partners(key, held)
+        return pa.table({"key_a": pa.array(a, pa.int64()), "key_b": pa.array(b, pa.int64())})
+
+    each = grams.select("_h", "_g", "_key").distinct()
+    hot = each.withColumnRenamed("_key", "key_a").join(each.withColumnRenamed("_key", "key_b"), ["_h", "_g"]).filter("key_a < key_b").select("key_a", "key_b")
+    pairs = cut(cold.groupBy("_h").applyInArrow(pair, "key_a long, key_b long").unionByName(hot).distinct())
+    ids = keyed.select("_key", "_key2", "_id")
     keys = cut(pairs.select(F.explode(F.array("key_a", "key_b")).alias("_key")).distinct())
-    linked_ids = ids.join(broadcast_if_small(keys, 2_000_000), "_key", "left_semi").select("_key", "_id")
-    linked = pairs.join(linked_ids.select(F.col("_key").alias("key_a"), F.col("_id").alias("_x")), "key_a").join(linked_ids.select(F.col("_key").alias("key_b"), F.col("_id").alias("_y")), "key_b")
-    many = cut(ids.groupBy("_key", "_key2").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key", "_key2"))
-    copied = ids.join(broadcast_if_small(many, 2_000_000), ["_key", "_key2"], "left_semi")
+    own = ids.join(broadcast_if_small(keys, 2_000_000), "_key", "left_semi").select("_key", "_id").distinct()
+    linked = pairs.join(own.select(F.col("_key").alias("key_a"), F.col("_id").alias("_x")), "key_a").join(own.select(F.col("_key").alias("key_b"), F.col("_id").alias("_y")), "key_b")
+    many = cut(ids.groupBy("_key", "_key2").agg(F.min("_id").alias("_i"), F.max("_id").alias("_j")).filter("_i != _j").select("_key", "_key2"))
+    copied = ids.join(broadcast_if_small(many, 2_000_000), ["_key", "_key2"], "left_semi").distinct()
     copies = copied.withColumnRenamed("_id", "_x").join(copied.withColumnRenamed("_id", "_y"), ["_key", "_key2"]).filter("_x < _y")
     every = linked.select("_x", "_y").filter("_x != _y").unionByName(copies.select("_x", "_y"))
     return every.select(F.least("_x", "_y").alias(f"{id_col}_a"), F.greatest("_x", "_y").alias(f"{id_col}_b")).distinct()
 
 
-def shared_shares(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+def shared_shares(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 250, **how) -> DataFrame:
     """(id, n_chars, shared_chars, share): how much of each text of at least ``length`` characters stands elsewhere.
 
-    A text with copies is shared whole. Spans are merged per text in order of their starts.
+    A text with copies is shared whole. Factors are merged per text in order of their starts.
     """
-    spans, members = shared_spans(docs, id_col=id_col, **how)
-    spans = cut(spans)
-    own = spans.select(F.col("key_a").alias("_key"), F.col("start_a").alias("_s"), (F.col("start_a") + F.col("length_a")).alias("_e"))
-    own = own.unionByName(spans.select(F.col("key_b").alias("_key"), F.col("start_b").alias("_s"), (F.col("start_b") + F.col("length_b")).alias("_e")))
-    own = own.groupBy("_key", "_s").agg(F.max("_e").alias("_e"))  # at most one row for each place of a text
-    before = Window.partitionBy("_key").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = own.withColumn("_b", F.greatest("_s", F.coalesce(F.max("_e").over(before), F.lit(0))))
-    covered = fresh.groupBy("_key").agg(F.sum(F.greatest(F.col("_e") - F.col("_b"), F.lit(0))).alias("_c"))
+    own = shared_spans(docs, id_col=id_col, text_col=text_col, length=length, **how)
+    own = own.groupBy("key", "start").agg(F.max("end").alias("end"))  # at most one row for each place of a text
+    before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = own.withColumn("_b", F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
+    covered = fresh.groupBy(F.col("key").alias("_key")).agg(F.sum(F.greatest(F.col("end") - F.col("_b"), F.lit(0))).alias("_c"))
+    members = _texts(docs, id_col, text_col, length).select("_key", "_key2", "_id", F.length("_t").alias("n_chars")).distinct()
     copies = members.groupBy("_key", "_key2").agg(F.count("*").alias("_n"))
     out = members.join(copies, ["_key", "_key2"]).join(covered, "_key", "left")
     shared = F.when(F.col("_n") > 1, F.col("n_chars").cast("long")).otherwise(F.coalesce("_c", F.lit(0).cast("long")))

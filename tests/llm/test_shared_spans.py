@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from provisio.llm import shared_spans
@@ -46,14 +47,15 @@ def test_pairs_equal_brute_force(spark, width, hot):
     df = spark.createDataFrame([(*r, "l") for r in rows], SCHEMA).repartition(3)
     want = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and runs(x, y, 30)}
     assert len(want) > 20
-    got = shared_spans.sharing_pairs(df, length=30, width=width, hot_docs=hot)
+    got = shared_spans.sharing_pairs(df, length=30, width=width, hot_rows=hot)
     assert {tuple(r) for r in got.collect()} == want
 
 
-def test_shares_equal_brute_force(spark):
-    rows = [r for r in docs() if r[0] < 50 or r[0] == 54]  # without texts that repeat themselves
+@pytest.mark.parametrize("hot", [200, 1])
+def test_shares_equal_brute_force(spark, hot):
+    rows = docs()
     df = spark.createDataFrame([(*r, "l") for r in rows], SCHEMA)
-    got = {r.doc_id: (r.n_chars, r.shared_chars) for r in shared_spans.shared_shares(df, length=30, width=15).collect()}
+    got = {r.doc_id: (r.n_chars, r.shared_chars) for r in shared_spans.shared_shares(df, length=30, width=15, hot_rows=hot).collect()}
     for i, x in rows:
         if x is None or len(x) < 30:
             assert i not in got
@@ -92,9 +94,9 @@ def test_repeating_texts_equal_brute_force(spark, width, hot):
                 for a, _, n in runs(x, y, 30):
                     held[i] |= set(range(a, a + n))
                     want.add((min(i, j), max(i, j)))
-    got = shared_spans.shared_shares(df, length=30, width=width, hot_docs=hot).collect()
+    got = shared_spans.shared_shares(df, length=30, width=width, hot_rows=hot).collect()
     assert {r.doc_id: r.shared_chars for r in got} == {i: len(held[i]) for i, x in rows if len(x) >= 30}
-    pairs = shared_spans.sharing_pairs(df, length=30, width=width, hot_docs=hot)
+    pairs = shared_spans.sharing_pairs(df, length=30, width=width, hot_rows=hot)
     assert {tuple(r) for r in pairs.collect()} == want
 
 
@@ -125,7 +127,26 @@ def test_empty_and_bad_width(spark):
 def test_long_text_in_one_batch():
     rnd = random.Random(1)
     text = "".join(rnd.choice("abcdef ") for _ in range(50_000))
-    doc, at, h, *_ = shared_spans.fingerprints([text, text[20_000:20_300]], 160, 250)
-    assert set(h[doc == 1].tolist()) & set(h[doc == 0].tolist())
-    place = dict(zip(h[doc == 0].tolist(), at[doc == 0].tolist()))
-    assert all(place[v] - a == 20_000 for v, a in zip(h[doc == 1].tolist(), at[doc == 1].tolist()) if v in place)
+    doc, at, count, block, grams, begins = shared_spans.stretches([text, text[20_000:20_300]], 160, 250)
+    assert set(block[doc == 1]) <= set(block[doc == 0]) and count[doc == 1].sum() == 51
+    assert (grams[begins[1] :] == grams[20_000:20_051]).all()
+
+
+def test_a_passage_in_many_documents_stays_linear(spark):
+    rnd = random.Random(2)
+    own = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = own(400)
+    rows = [(i, own(300) + passage + own(200), "l") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for hot in (20_000, 10):
+        spans = shared_spans.shared_spans(df, hot_rows=hot)
+        assert spans.count() < 12 * len(rows)
+    # a character of what stands around the passage may be the same by chance
+    assert all(400 <= r.shared_chars <= 430 for r in shared_spans.shared_shares(df).collect())
+
+
+def test_periods():
+    grams = np.array([9, 8, *[1, 2, 3] * 50, 1], np.uint64)
+    head, tail = shared_spans.periods(grams, 20)
+    assert head[:2] == (0, 2) and tail[:2] == (2, 151) and tail[2].tolist() == [1, 2, 3]
+    assert shared_spans.periods(grams[:15], 20)[0][1] == 15
