@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from provisio.llm.tokenize import texts_of
@@ -34,6 +34,8 @@ from provisio.runtime import broadcast_if_small, cut, over_salts, with_salt
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 SALTS = 8
+#: Stretches of different blocks that are worked on together.
+TOGETHER = 2_000
 STRETCH = "_h long, _key long, _at int, _count int, _grams binary"
 
 
@@ -49,28 +51,30 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def stretches(texts: list[str], width: int, length: int) -> tuple[np.ndarray, ...]:
+def stretches(texts: list[str], width: int, length: int, with_grams: bool = False) -> tuple[np.ndarray, ...]:
     """(text number, first gram, number of grams, block) of the stretches of texts, each at least ``length`` long.
 
-    Then the hashes of the grams of all texts, and where those of each text begin.
+    If asked for, then the hashes of the runs of ``length`` characters of the joined texts.
     """
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    starts = np.r_[0, ends[:-1]]
     n = len(chars)
     power, back = powers(BASE, n + 1), powers(pow(BASE, -1, 1 << 64), n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((chars + np.uint32(7)) * power[:n], out=total[1:])
-    hashed = mix((total[width:] - total[:-width]) * back[: n - width + 1])
-    least = _least(hashed, length - width + 1)  # windows over the end of a text are in no gram that counts
-    ends = np.cumsum(sizes)
-    counts = sizes - length + 1
-    at = np.arange(counts.sum()) + np.repeat(ends - sizes - (np.cumsum(counts) - counts), counts)
-    doc = np.repeat(np.arange(len(texts)), counts)
-    block = least[at]
-    grams = mix((total[at + length] - total[at]) * back[at])
-    first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])])
-    begins = np.cumsum(counts) - counts
-    return doc[first], first - begins[doc[first]], np.diff(np.r_[first, len(at)]), block[first], grams, begins
+    least = _least(mix((total[width:] - total[:-width]) * back[: n - width + 1]), length - width + 1)
+    change = np.empty(len(least), bool)
+    change[0] = True
+    np.not_equal(least[1:], least[:-1], out=change[1:])
+    change[starts] = True
+    first = np.flatnonzero(change)
+    doc = np.searchsorted(ends, first, "right")
+    count = np.minimum(np.r_[first[1:], len(least)], ends[doc] - length + 1) - first
+    inside = count > 0  # the others run over the end of a text
+    first, doc = first[inside], doc[inside]
+    out = doc, first - starts[doc], count[inside], least[first]
+    return (*out, mix((total[length:] - total[:-length]) * back[: n - length + 1])) if with_grams else out
 
 
 def periods(grams: np.ndarray, most: int) -> list[tuple[int, int, np.ndarray]]:
@@ -87,11 +91,11 @@ def periods(grams: np.ndarray, most: int) -> list[tuple[int, int, np.ndarray]]:
     return ([(0, s, grams[:s])] if s else []) + [(s, n - s, grams[s : s + step])]
 
 
-def factors(key: np.ndarray, at: np.ndarray, count: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first gram, number of grams) of the factors of a block's stretches against each other."""
-    row, kept, index = _indexed(key, grams)
+def factors(block: np.ndarray, key: np.ndarray, at: np.ndarray, count: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first gram, number of grams) of the factors of the stretches against the others of their blocks."""
+    row, kept, index = _indexed(block, grams)
     shared = np.zeros(len(index), bool)
-    order = np.lexsort((key[row], index))
+    order = np.argsort(index)
     i, k = index[order], key[row][order]
     edge = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
     several = np.minimum.reduceat(k, edge) != np.maximum.reduceat(k, edge)
@@ -99,10 +103,11 @@ def factors(key: np.ndarray, at: np.ndarray, count: np.ndarray, grams: list[np.n
     return _rows_of(shared, kept, at, count)
 
 
-def _indexed(key: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each gram, grams kept of each row, gram)."""
+def _indexed(block: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each gram, grams kept of each row, index of the gram in its block)."""
     kept = np.fromiter(map(len, grams), np.int64, len(grams))
-    return np.repeat(np.arange(len(key)), kept), kept, np.concatenate(grams)
+    row = np.repeat(np.arange(len(block)), kept)
+    return row, kept, mix(np.concatenate(grams) + mix(block.view(np.uint64))[row])
 
 
 def _rows_of(shared: np.ndarray, kept: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,25 +133,30 @@ def _runs(row: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return row[first], gram[first], np.diff(np.r_[first, len(row)])
 
 
-def partners(key: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def partners(block: np.ndarray, key: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of keys that hold a gram in common, smaller key first; each set of keys is paired once."""
-    row, _, index = _indexed(key, grams)
-    one = np.unique(np.stack([index.view(np.int64), key[row]]), axis=1)
-    edge = np.flatnonzero(np.r_[True, one[0][1:] != one[0][:-1]])
-    sets = {tuple(s.tolist()) for s in np.split(one[1], edge[1:]) if len(s) > 1}
+    row, _, index = _indexed(block, grams)
+    order = np.lexsort((key[row], index))
+    i, k = index[order], key[row][order]
+    once = np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1])]
+    i, k = i[once], k[once]
+    edge = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    size = np.diff(np.r_[edge, len(i)])
+    # sets told apart by their sums
+    _, first = np.unique(np.add.reduceat(mix(k.view(np.uint64)), edge), return_index=True)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s in sets:
-        s = np.array(s, np.int64)
-        i, j = np.triu_indices(len(s), 1)
-        a.append(s[i])
-        b.append(s[j])
+    for e, n in zip(edge[first], size[first]):
+        if n > 1:
+            x, y = np.triu_indices(n, 1)
+            a.append(k[e + x])
+            b.append(k[e + y])
     pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
     return pair[0], pair[1]
 
 
-def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    key, at, count = (table.column(c).to_numpy().astype(np.int64) for c in ("_key", "_at", "_count"))
-    return key, at, count, [np.frombuffer(b, "<u8") for b in table.column("_grams").to_pylist()]
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    block, key, at, count = (table.column(c).to_numpy().astype(np.int64) for c in ("_h", "_key", "_at", "_count"))
+    return block, key, at, count, [np.frombuffer(b, "<u8") for b in table.column("_grams").to_pylist()]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -171,7 +181,7 @@ def block_stretches(keyed: DataFrame, length: int, width: int) -> DataFrame:
                     texts.append(t)
                     chars += len(t)
                 if texts and (chars >= 2_000_000 or last == 0):
-                    doc, _, _, block, *_ = stretches(texts, width, length)
+                    doc, _, _, block = stretches(texts, width, length)
                     yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(np.array(keys, np.int64)[doc])], names=["_h", "_key"])
                     keys, texts, chars = [], [], 0
             if len(seen) > 1_000_000:
@@ -190,7 +200,7 @@ def block_stretches(keyed: DataFrame, length: int, width: int) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for key, wanted, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2))):
-                _, at, count, block, grams, _ = stretches([text], width, length)
+                _, at, count, block, grams = stretches([text], width, length, with_grams=True)
                 for i in np.flatnonzero(np.isin(block.view(np.int64), wanted)):
                     for a, n, kept in periods(grams[at[i] : at[i] + count[i]], length - width + 1):
                         out.append((int(block[i].view(np.int64)), key, int(at[i]) + a, n, kept.tobytes()))
@@ -201,8 +211,8 @@ def block_stretches(keyed: DataFrame, length: int, width: int) -> DataFrame:
     return texts.mapInArrow(cut_out, STRETCH)
 
 
-def _hot(rows: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The stretches of blocks up to ``hot_rows`` of them, and one row for each gram of the others."""
+def _hot(rows: DataFrame, hot_rows: int) -> tuple[GroupedData, DataFrame]:
+    """The stretches of blocks up to ``hot_rows`` of them, some blocks together, and one row for each gram of the others."""
     many = cut(rows.groupBy("_h").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select("_h"))
     many = broadcast_if_small(many, 1_000_000)
 
@@ -213,7 +223,9 @@ def _hot(rows: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
                 own = b.slice(i, 1).take(pa.array(np.zeros(len(grams), np.int64)))
                 yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(np.full(len(grams), len(grams), np.int32)), pa.array(np.arange(len(grams), dtype=np.int32)), pa.array(grams)], names=["_h", "_key", "_at", "_count", "_kept", "_i", "_g"])
 
-    return rows.join(many, "_h", "left_anti"), rows.join(many, "_h", "left_semi").mapInArrow(spell, "_h long, _key long, _at int, _count int, _kept int, _i int, _g long")
+    parts = -(-rows.count() // TOGETHER) or 1
+    cold = rows.join(many, "_h", "left_anti").groupBy(F.pmod("_h", F.lit(parts)).alias("_part"))
+    return cold, rows.join(many, "_h", "left_semi").mapInArrow(spell, "_h long, _key long, _at int, _count int, _kept int, _i int, _g long")
 
 
 def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 250, width: int = 160, hot_rows: int = 20_000) -> DataFrame:
@@ -226,8 +238,8 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return [pa.array(key, pa.int64()), pa.array(first, pa.int32()), pa.array(first + count - 1 + length, pa.int32())]
 
     def factor(table: pa.Table) -> pa.Table:
-        key, at, count, held = _arrays(table)
-        row, first, n = factors(key, at, count, held)
+        block, key, at, count, held = _arrays(table)
+        row, first, n = factors(block, key, at, count, held)
         return pa.Table.from_arrays(spans(key[row], first, n), names=["key", "start", "end"])
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,23 +254,26 @@ def shared_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     several = grams.groupBy("_h", "_g").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).filter("_a != _b").select("_h", "_g")
     again = with_salt(grams, "_key", SALTS).join(over_salts(several, SALTS), ["_h", "_g", "_salt"], "left_semi")
     again = again.groupBy("_key", "_at", "_count", "_kept", "_h").agg(F.collect_set("_i").alias("_is")).drop("_h")
-    return cold.groupBy("_h").applyInArrow(factor, span).unionByName(again.mapInArrow(join_up, span))
+    return cold.applyInArrow(factor, span).unionByName(again.mapInArrow(join_up, span))
+
 
+def sharing_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 250, width: int = 160, hot_rows: int = 2_000) -> DataFrame:
+    """(id_a, id_b): every pair of different ids whose texts share a span, id_a < id_b.
 
-def sharing_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 250, width: int = 160, hot_rows: int = 20_000) -> DataFrame:
-    """(id_a, id_b): every pair of different ids whose texts share a span, id_a < id_b."""
+    The texts of a block of more than ``hot_rows`` stretches are paired as rows.
+    """
     keyed = _texts(docs, id_col, text_col, length)
     rows = cut(block_stretches(keyed, length, width))
     cold, grams = _hot(rows, hot_rows)
 
     def pair(table: pa.Table) -> pa.Table:
-        key, _, _, held = _arrays(table)
-        a, b = partners(key, held)
+        block, key, _, _, held = _arrays(table)
+        a, b = partners(block, key, held)
         return pa.table({"key_a": pa.array(a, pa.int64()), "key_b": pa.array(b, pa.int64())})
 
     each = grams.select("_h", "_g", "_key").distinct()
     hot = each.withColumnRenamed("_key", "key_a").join(each.withColumnRenamed("_key", "key_b"), ["_h", "_g"]).filter("key_a < key_b").select("key_a", "key_b")
-    pairs = cut(cold.groupBy("_h").applyInArrow(pair, "key_a long, key_b long").unionByName(hot).distinct())
+    pairs = cut(cold.applyInArrow(pair, "key_a long, key_b long").unionByName(hot).distinct())
     ids = keyed.select("_key", "_key2", "_id")
     keys = cut(pairs.select(F.explode(F.array("key_a", "key_b")).alias("_key")).distinct())
     own = ids.join(broadcast_if_small(keys, 2_000_000), "_key", "left_semi").select("_key", "_id").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -12,9 +13,20 @@ BEYOND_ASCII = re.compile(r"[^\w\x00-\x7f]+")
 ASCII_WORDS = bytes(c if c > 127 or chr(c).isalnum() or c == 30 else 32 for c in range(256))
 BASE = 0x9E3779B97F4A7C15
 STEP = 1 << 20
+KEPT = 9 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base ** 2 and so on, ``n`` of them; those of usual lengths are kept."""
+    return _powers(base, n) if n > KEPT else _kept_powers(base)[:n]
+
+
+@lru_cache(maxsize=4)
+def _kept_powers(base: int) -> np.ndarray:
+    return _powers(base, KEPT)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1
     done = 1
