@@ -20,7 +20,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_pieces(table(spark, d, "chunks", spread=True), limit=1200, overlap=120, window=500)
+    """Pieces of half the size, where several boundaries fit and the deepest valley decides."""
+    return split.split_pieces(table(spark, d, "chunks", spread=True), limit=600, overlap=60, window=400)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +47,8 @@ def p3_flows(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_clipped(spark: SparkSession, d: str) -> DataFrame:
     """The preference grows up to a quarter of the candidates and is whole beyond."""
-    return ranking.ranking(_criteria(spark, d), threshold=0.25)
+    flows = ranking.net_flow(_criteria(spark, d), threshold=0.25)
+    return flows.withColumn("flow", F.round("flow", 6))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,9 +6,9 @@ by d. The preference over all others minus the preference of all others over it,
 weighted over the criteria, is its net flow; the highest flow comes first.
 
 The pairs are never formed: with the percentiles sorted, the sums over all pairs follow from
-running counts and sums. With ``threshold=1`` (the default) the flow of one criterion is
-``(n * p - sum of all p) / (n - 1)``; for a smaller threshold the pairs beyond it are counted by
-looking up the running sums at p - threshold and p + threshold.
+running counts and running sums of the percentiles, looked up at p, p - threshold and p +
+threshold. With ``threshold=1`` (the default) no pair lies beyond the threshold, and what is looked
+up there is nothing and the whole.
 
 A candidate without a usable score (null, NaN, infinite) of a criterion of its query counts as
 that criterion's lowest usable one; a criterion with no usable score at all says nothing. Of
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provisio.operators.prefix_sums import running_sums
+from provisio.llm.prefix_sums import running_sums
 from provisio.runtime import cut, over_salts, with_salt
 
 SALTS = 8
@@ -47,6 +47,11 @@ def criteria_from_retrieval(retrieved: DataFrame, chunks: DataFrame, default_wei
     )
 
 
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Rows joined to a table with one row for each key, the rows of a key dealt to several tasks by another column."""
+    return with_salt(rows, by, SALTS).join(over_salts(one, SALTS), [*keys, "_salt"], how).drop("_salt")
+
+
 def net_flow(criteria: DataFrame, *, weights: dict[str, float] | None = None, threshold: float = 1.0) -> DataFrame:
     """(query_id, chunk_id, flow): the net flow of each candidate, over rows of ``criteria_from_retrieval``'s shape.
 
@@ -62,17 +67,13 @@ def net_flow(criteria: DataFrame, *, weights: dict[str, float] | None = None, th
     values = rows.filter("criterion is not null and _s is not null").groupBy("query_id", "criterion", "_s").agg(F.count("*").alias("_c"))
     known = values.groupBy("query_id", "criterion").agg(F.sum("_c").alias("_known"), F.min("_s").alias("_low"))
     known = known.join(sizes, "query_id")
-    values = values.join(known, ["query_id", "criterion"])
+    values = spread_join(values, known, ["query_id", "criterion"], "_s")
     values = values.withColumn("_c", F.when(F.col("_s") == F.col("_low"), F.col("_c") + F.col("_n") - F.col("_known")).otherwise(F.col("_c")))
     values = running_sums(values, ["query_id", "criterion"], "_s", {"_upto": "_c"})
     n = F.col("_n").cast("double")
     p = F.when(F.col("_n") > 1, (F.col("_upto") - F.col("_c") + (F.col("_c") - 1) / 2.0) / (n - 1)).otherwise(F.lit(0.5))
     values = values.withColumn("_p", p)
-    if threshold == 1.0:  # the mean percentile is one half, by symmetry
-        flow = F.when(F.col("_n") > 1, (n * F.col("_p") - n / 2) / (n - 1)).otherwise(F.lit(0.0))
-        flows = values.withColumn("_f", flow)
-    else:
-        flows = _clipped(values, threshold)
+    flows = _flows(values, threshold)
     if weights:
         w = F.coalesce(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("criterion")], F.lit(1.0))
         flows = flows.withColumn("_f", F.col("_f") * w)
@@ -81,18 +82,21 @@ def net_flow(criteria: DataFrame, *, weights: dict[str, float] | None = None, th
     # every candidate starts from the sum of the lowest flows; a score of its own lifts it from there
     base = flows.filter("_is_low").groupBy("query_id").agg(F.sum("_f").alias("_base"))
     lowest = flows.filter("_is_low").select("query_id", "criterion", F.col("_f").alias("_f0"))
-    lifts = own.join(lowest, ["query_id", "criterion"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("_f") - F.col("_f0")).alias("_lift"))
-    out = members.join(lifts, ["query_id", "chunk_id"], "left").join(base, "query_id", "left")
+    lifts = spread_join(own, lowest, ["query_id", "criterion"], "chunk_id").groupBy("query_id", "chunk_id").agg(F.sum(F.col("_f") - F.col("_f0")).alias("_lift"))
+    out = spread_join(members.join(lifts, ["query_id", "chunk_id"], "left"), base, ["query_id"], "chunk_id", "left")
     return out.select("query_id", "chunk_id", F.round(F.coalesce("_base", F.lit(0.0)) + F.coalesce("_lift", F.lit(0.0)), 9).alias("flow"))
 
 
-def _clipped(values: DataFrame, threshold: float) -> DataFrame:
-    """Flows for a threshold below 1, from running counts and sums looked up at p - threshold and p + threshold.
+def _flows(values: DataFrame, threshold: float) -> DataFrame:
+    """Flows from running counts and sums at p, p - threshold and p + threshold.
 
-    The look-ups are merged into the sorted rows as rows that weigh nothing.
+    The look-ups are merged into the sorted rows as rows that weigh nothing. A threshold of 1 needs none.
     """
     keys = ["query_id", "criterion"]
     values = values.withColumn("_w", F.col("_c").cast("double")).withColumn("_wp", F.col("_c") * F.col("_p"))
+    if threshold == 1:
+        got = running_sums(values, keys, "_s", {"w0": "_w", "p0": "_wp"}).withColumns({"w1": F.lit(0.0), "p1": F.lit(0.0), "w2": F.col("_n").cast("double"), "p2": F.col("_n") / 2.0})
+        return _net(got, threshold)
     at = values.select(*keys, "_s", "_low", "_n", "_c", "_p", F.explode(F.array(
         F.struct(F.lit(0).alias("k"), F.col("_p").alias("x"), F.col("_w").alias("w"), F.col("_wp").alias("wp")),
         F.struct(F.lit(1).alias("k"), F.round(F.col("_p") - threshold, 12).alias("x"), F.lit(0.0).alias("w"), F.lit(0.0).alias("wp")),
@@ -105,6 +109,11 @@ def _clipped(values: DataFrame, threshold: float) -> DataFrame:
         pick(0, "_cw").alias("w0"), pick(0, "_cp").alias("p0"), pick(1, "_cw").alias("w1"), pick(1, "_cp").alias("p1"),
         pick(2, "_cw").alias("w2"), pick(2, "_cp").alias("p2"),
     )
+    return _net(got, threshold)
+
+
+def _net(got: DataFrame, threshold: float) -> DataFrame:
+    """w and p: running counts and sums of the percentiles, 0 up to here, 1 up to p - threshold, 2 up to p + threshold."""
     p, t, total = F.col("_p"), F.lit(threshold), F.col("_n").cast("double")
     gain = F.col("w1") + (p * (F.col("w0") - F.col("w1")) - (F.col("p0") - F.col("p1"))) / t
     loss = (total - F.col("w2")) + ((F.col("p2") - F.col("p0")) - p * (F.col("w2") - F.col("w0"))) / t

@@ -61,4 +61,16 @@ P3_FLOWS = _FLOWS + """
 SELECT query_id, chunk_id, flow, row_number() OVER (PARTITION BY query_id ORDER BY flow DESC, chunk_id) AS place FROM flows
 """
 
-ORACLE_SQL = {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p3_flows": P3_FLOWS}
+P3_CLIPPED = _FLOWS.replace("), flows AS (", """), ranked AS (
+  SELECT *, (rank() OVER g - 1 + (count(*) OVER (PARTITION BY query_id, criterion, s) - 1) / 2.0) / greatest(1, count(*) OVER (PARTITION BY query_id, criterion) - 1) AS p,
+    count(*) OVER (PARTITION BY query_id, criterion) AS n
+  FROM scores WINDOW g AS (PARTITION BY query_id, criterion ORDER BY s)
+), flows AS (""").replace("sum(sign(a.s - b.s)) / 2.0 / greatest(1, n - 1) * (n / (n - 1.0 + (n = 1)::INT))", "sum(greatest(-1.0, least(1.0, (a.p - b.p) / 0.25))) / greatest(1, a.n - 1)").replace(
+    """FROM scores a JOIN scores b ON a.query_id = b.query_id AND a.criterion = b.criterion
+  JOIN (SELECT query_id, count(*) AS n FROM members GROUP BY query_id) z ON z.query_id = a.query_id
+  GROUP BY a.query_id, a.chunk_id, n""", """FROM ranked a JOIN ranked b ON a.query_id = b.query_id AND a.criterion = b.criterion
+  GROUP BY a.query_id, a.chunk_id, a.n""") + """
+SELECT query_id, chunk_id, round(flow, 6) AS flow FROM flows
+"""
+
+ORACLE_SQL = {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p3_flows": P3_FLOWS, "p3_clipped": P3_CLIPPED}
