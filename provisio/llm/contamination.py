@@ -9,7 +9,8 @@ By the q-gram lemma, an occurrence with e edits of a passage of n characters sha
 n - q + 1 - q * e character q-grams with it, on diagonals (place in the document less place in
 the item) that differ by at most e. So the q-grams of each document are looked up among those
 of the items, the hits counted in overlapping bands of diagonals, and only bands that reach the
-bound are aligned, banded by e. With ``max_edits=0`` the alignment compares the words.
+bound are aligned, on the diagonals of the band and e more. With ``max_edits=0`` these are the two
+diagonals of a band, followed as far as they agree.
 
 The items are a fixed evaluation set: their table is sent to all tasks after a check of its
 size, and above ``most_item_chars`` it is taken in blocks, one pass over the documents each. Null
@@ -30,14 +31,16 @@ from provisio.llm.word_bytes import MARK, plain, words_of
 
 Q = 8
 TABLE_BITS = 22
+#: Hits of q-grams that are held at a time; one text's may be more.
+MOST_HITS = 2_000_000
 
 
 class ItemIndex:
-    """The q-grams of the item texts, and the texts as words."""
+    """The q-grams of the item texts, and their passages with the places where these begin."""
 
     def __init__(self, texts: list[tuple[str, str]], min_words: int, max_edits: int):
         self.min_words, self.max_edits = min_words, max_edits
-        self.items, self.words, self.bounds, self.start_at = [], [], [], []
+        self.items, self.bounds, self.passages = [], [], []
         kept = bytearray()
         starts = [0]
         for item, text in texts:
@@ -51,9 +54,8 @@ class ItemIndex:
                 places.append(at)
                 at += len(x) + 1
             lengths = [places[i + run - 1] + len(w[i + run - 1]) - places[i] + 2 for i in range(len(w) - run + 1)]
+            self.passages.append([(places[i] - 1, b" " + b" ".join(w[i : i + run]) + b" ") for i in range(len(w) - run + 1)])
             self.items.append(item)
-            self.words.append(w)
-            self.start_at.append(places)
             self.bounds.append(min(lengths) - Q + 1 - Q * max_edits)
             kept += line + bytes(Q)
             starts.append(len(kept))
@@ -71,7 +73,7 @@ class ItemIndex:
         #: q-grams that the shortest passage has.
         self.least = int(sure.min()) + Q * max_edits if len(sure) else 1
         #: Passages too short, or edits too many, for any q-gram to be sure of: looked for directly.
-        self.direct = [n for n in range(len(self.words)) if self.bounds[n] < 1]
+        self.direct = [n for n in range(len(self.items)) if self.bounds[n] < 1]
 
 
 def _grams(b: np.ndarray) -> np.ndarray:
@@ -85,34 +87,57 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
     return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def _aligned(region: bytes, passage: bytes, edits: int) -> bool:
-    """Is there a stretch of ``region`` at most ``edits`` edits from ``passage``? Only a band of cells is filled."""
-    n, m = len(passage), len(region)
-    far = edits + 1
-    row = [0] * (m + 1)
-    for i in range(1, n + 1):
-        new = [far] * (m + 1)
-        lo, hi = max(0, i - 2 * edits - 1), min(m, m - n + i + 2 * edits + 1)
-        if lo == 0:
-            new[0] = min(far, i)
-        for j in range(max(1, lo), hi + 1):
-            new[j] = min(row[j - 1] + (passage[i - 1] != region[j - 1]), row[j] + 1, new[j - 1] + 1, far)
-        row = new
-        if min(row) > edits:
-            return False
-    return min(row) <= edits
-
-
-def _verify(index: ItemIndex, line: int, doc: bytes, lo: int, hi: int) -> bool:
-    """Does the document leak a passage of this item text near its bytes [lo, hi)?"""
-    words, e = index.words[line], index.max_edits
-    run = min(index.min_words, len(words))
-    passages = [b" " + b" ".join(words[i : i + run]) + b" " for i in range(len(words) - run + 1)]
-    longest = max(map(len, passages))
-    region = b" " + b" ".join(doc[max(0, doc.rfind(b" ", 0, max(0, lo - longest - e))) : hi + longest + e].split()) + b" "
-    if e == 0:
-        return any(p in region for p in passages)
-    return any(_aligned(region, p, e) for p in passages)
+def _same(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many bytes from places i and j on are the same."""
+    n, wide = min(len(a) - i, len(b) - j), 32
+    done = 0
+    while done < n:
+        other = np.flatnonzero(a[i + done : i + min(n, done + wide)] != b[j + done : j + min(n, done + wide)])
+        if len(other):
+            return done + int(other[0])
+        done, wide = done + wide, wide * 4
+    return max(0, n)
+
+
+def aligned(passage: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> bool:
+    """Is a stretch of the text, begun at one of the places from ``low`` to ``high``, at most ``edits`` edits from the passage?
+
+    Only the diagonals from there to ``edits`` further on either side are filled, each with the
+    farthest place of the passage that so many edits reach.
+    """
+    first, last = low - edits, high + edits
+    reach = {}
+    for e in range(edits + 1):
+        new = {}
+        for d in range(first, last + 1):
+            at = 0 if low <= d <= high and d >= 0 else -1
+            if e:  # a byte replaced, one more in the text, one less
+                at = max(at, reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1)
+            if at < 0 or at + d < 0:
+                continue
+            at = min(at, len(passage), len(text) - d)
+            if at < 0:
+                continue
+            new[d] = at + _same(passage, text, at, at + d)
+            if new[d] >= len(passage):
+                return True
+        reach = new
+    return False
+
+
+def _anywhere(passage: bytes, text: bytes, edits: int) -> bool:
+    """Is there a stretch of ``text`` at most ``edits`` edits from ``passage``? For passages too short for q-grams."""
+    if not edits:
+        return passage in text
+    t = np.frombuffer(text, np.uint8)
+    place = np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, np.int64)
+    for i, c in enumerate(passage, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
+        row = np.minimum.accumulate(new - place) + place
+    return int(row.min()) <= edits
 
 
 def _dense(known: np.ndarray, least: int, edits: int) -> np.ndarray:
@@ -141,40 +166,61 @@ def leaks(index: ItemIndex, texts: list[str]) -> list[tuple[int, int]]:
         return []
     docs = plain(texts).split(MARK.encode())[: len(texts)]
     docs = [b" " + b" ".join(d.split()) + b" " for d in docs]
-    out = {(i, n) for n in index.direct for i, d in enumerate(docs) if _verify(index, n, d, 0, len(d))}
+    out = {(i, n) for n in index.direct for i, d in enumerate(docs) if any(_anywhere(p, d, index.max_edits) for _, p in index.passages[n])}
     buffer = np.frombuffer(MARK.encode().join(docs), np.uint8)
     begins = np.cumsum([0, *(len(d) + 1 for d in docs)])[:-1]
     grams = _grams(buffer)
     at = _dense(index.table[_bucket(grams)], index.least, index.max_edits)
     found = grams[at]
     lo, hi = np.searchsorted(index.grams, found), np.searchsorted(index.grams, found, "right")
+    doc = np.searchsorted(begins, at, "right") - 1
+    upto = np.cumsum(hi - lo)
+    a = 0
+    while a < len(at):  # whole texts with about so many hits at a time
+        b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + MOST_HITS, "right"))
+        b = max(int(np.searchsorted(doc, doc[min(b, len(at) - 1)])) if b < len(at) else b, int(np.searchsorted(doc, doc[a], "right")))
+        _banded(index, docs, begins, at[a:b], lo[a:b], hi[a:b], doc[a:b], out)
+        a = b
+    return sorted(out)
+
+
+def _banded(index: ItemIndex, docs: list[bytes], begins: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, out: set[tuple[int, int]]) -> None:
+    """Add what the bands with enough hits hold to ``out``."""
     count = hi - lo
     ends = np.cumsum(count)
     if not len(ends) or not ends[-1]:
-        return sorted(out)
+        return
     hit = np.arange(ends[-1]) + np.repeat(lo - (ends - count), count)
-    at = np.repeat(at, count)
+    at, doc = np.repeat(at, count), np.repeat(doc, count)
     line, place = index.line[hit], index.place[hit]
-    doc = np.searchsorted(begins, at, "right") - 1
-    diagonal = at - place - begins[doc] + (1 << 20)
-    # bands of 2 * (edits + 1) diagonals, each overlapping the next by half
+    diagonal = at - place - begins[doc]
     half = index.max_edits + 1
-    for shift in (0, half) if index.max_edits else (0,):
-        band = (diagonal + shift) // (2 * half if index.max_edits else 1)
+    for shift in (0, half):  # bands of 2 * half diagonals, each overlapping the next by half
+        band = (diagonal + shift) // (2 * half)
         order = np.lexsort((at, band, line, doc))
         d, n, b, a, p = doc[order], line[order], band[order], at[order], place[order]
         first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (n[1:] != n[:-1]) | (b[1:] != b[:-1])])
-        size = np.diff(np.r_[first, len(d)])
-        if len(first):  # a q-gram of the item counts once for each place in it
-            fresh = np.r_[True, a[1:] != a[:-1]] | np.r_[True, p[1:] != p[:-1]]
-            size = np.add.reduceat(fresh.astype(np.int64), first)
-        for f, s in zip(first[size >= index.bounds[n[first]]], np.diff(np.r_[first, len(d)])[size >= index.bounds[n[first]]]):
+        fresh = np.r_[True, a[1:] != a[:-1]] | np.r_[True, p[1:] != p[:-1]]  # a q-gram of the item counts once for each place in it
+        size = np.add.reduceat(fresh.astype(np.int64), first)
+        for f in first[size >= index.bounds[n[first]]]:
             who = (int(d[f]), int(n[f]))
             if who not in out:
-                start = int(begins[who[0]])
-                if _verify(index, who[1], docs[who[0]], int(a[f]) - start, int(a[f + s - 1]) - start + Q):
+                low = int(b[f]) * 2 * half - shift
+                text = np.frombuffer(docs[who[0]], np.uint8)
+                if any(aligned(np.frombuffer(x, np.uint8), text, low + s - index.max_edits, low + 2 * half - 1 + s + index.max_edits, index.max_edits) for s, x in index.passages[who[1]]):
                     out.add(who)
-    return sorted(out)
+
+
+def _bounded(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Stretches of at most 1,000 texts and about ``chars`` characters."""
+    a = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= chars or i - a >= 999:
+            yield a, i + 1
+            a, held = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
 
 
 def leaked_items(
@@ -197,9 +243,10 @@ def leaked_items(
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(sent.value, min_words, max_edits)
             for b in batches:
-                for a in range(0, b.num_rows, 1000):
-                    piece = b.slice(a, 1000)
-                    got = leaks(index, texts_of(piece.column(1)))
+                texts = texts_of(b.column(1))
+                for a, z in _bounded(texts, 2_000_000):
+                    piece = b.slice(a, z - a)
+                    got = leaks(index, texts[a:z])
                     yield pa.RecordBatch.from_arrays(
                         [piece.column(0).take(pa.array([d for d, _ in got], pa.int64())), pa.array([index.items[n] for _, n in got])] if got
                         else [piece.column(0).slice(0, 0), pa.array([], pa.string() if item_kind == "string" else pa.int64())], names=["_id", "item_id"]

@@ -79,6 +79,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaked_items(table(spark, d, "documents", spread=True), table(spark, d, "golden_set"))
 
 
+def p7_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Passages with up to two characters changed, left out or put in."""
+    return contamination.leaked_items(table(spark, d, "documents", spread=True), table(spark, d, "golden_set"), max_edits=2)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.sharing_pairs(table(spark, d, "documents", spread=True))
 
@@ -89,5 +94,5 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p3_flows, p3_clipped, p4_found, p4_neighbours, p5_found, p5_links, p6_ids, p7_found, p8_found, p8_shares)
+    for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p3_flows, p3_clipped, p4_found, p4_neighbours, p5_found, p5_links, p6_ids, p7_found, p7_edits, p8_found, p8_shares)
 }

@@ -1,9 +1,12 @@
+import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from provisio.llm import contamination
+from provisio.llm.queries import QUERIES
 
 
 def words(t):
@@ -60,7 +63,7 @@ def edit_distance_inside(p, t):
     return min(row)
 
 
-@pytest.mark.parametrize("edits", [1, 3])
+@pytest.mark.parametrize("edits", [0, 1, 3])
 def test_edits_within_the_budget(edits):
     rnd = random.Random(edits)
     text = " ".join(f"{rnd.choice('abcdefgh')}{rnd.choice('aeiou')}{rnd.choice('klmnrst')}{rnd.randint(10, 99)}" for _ in range(14))
@@ -77,3 +80,38 @@ def test_edits_within_the_budget(edits):
     passages = [" " + " ".join(w[i : i + 12]) + " " for i in range(3)]
     want = {d for d, t in enumerate(docs) if any(edit_distance_inside(p, " " + t + " ") <= edits for p in passages)}
     assert got == want and 0 in want and len(want) < 8
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 4])
+def test_aligned_equals_all_cells(edits):
+    rnd = random.Random(edits)
+    seen = set()
+    for _ in range(400):
+        text = [rnd.randrange(3) for _ in range(rnd.randint(0, 30))]
+        a = rnd.randint(0, len(text))
+        passage = text[a : a + rnd.randint(1, 12)] or [1]
+        for _ in range(rnd.randint(0, edits + 1)):
+            k = rnd.randrange(len(passage))
+            passage[k : k + rnd.randint(0, 1)] = [rnd.randrange(3)] * rnd.randint(0, 2)
+            passage = passage or [2]
+        as_array = lambda x: np.array(x, np.uint8)
+        got = contamination.aligned(as_array(passage), as_array(text), 0, len(text), edits)
+        assert got == (edit_distance_inside(passage, text) <= edits) == contamination._anywhere(bytes(passage), bytes(text), edits)
+        seen.add(got)
+    assert len(seen) == 2
+
+
+def test_hits_of_template_items_are_taken_text_by_text(monkeypatch):
+    words = [f"word{i}" for i in range(30)]
+    index = contamination.ItemIndex([(f"q{i}", " ".join(words[: 14 + i % 5])) for i in range(40)], 12, 0)
+    docs = ["x " + " ".join(words[i : i + 16]) for i in range(10)] * 3 + ["", "y " * 40]
+    want = contamination.leaks(index, docs)
+    monkeypatch.setattr(contamination, "MOST_HITS", 1)
+    assert contamination.leaks(index, docs) == want and len(want) > 100
+
+
+def test_edits_query_holds_the_exact_one(spark, sf):
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    exact, near = ({tuple(r) for r in QUERIES[n](spark, sf).collect()} for n in ("p7_found", "p7_edits"))
+    assert exact and exact <= near
