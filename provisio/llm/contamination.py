@@ -31,8 +31,10 @@ from provisio.llm.word_bytes import MARK, plain, words_of
 
 Q = 8
 TABLE_BITS = 22
+#: Pairs of texts and item texts whose hits are counted beforehand.
+MOST_COUNTS = 10_000_000
 #: Hits of q-grams that are held at a time; one text's may be more.
-MOST_HITS = 2_000_000
+MOST_HITS = 300_000
 
 
 class ItemIndex:
@@ -40,7 +42,7 @@ class ItemIndex:
 
     def __init__(self, texts: list[tuple[str, str]], min_words: int, max_edits: int):
         self.min_words, self.max_edits = min_words, max_edits
-        self.items, self.bounds, self.passages = [], [], []
+        self.items, self.bounds, self.passages, self.spans = [], [], [], []
         kept = bytearray()
         starts = [0]
         for item, text in texts:
@@ -55,6 +57,8 @@ class ItemIndex:
                 at += len(x) + 1
             lengths = [places[i + run - 1] + len(w[i + run - 1]) - places[i] + 2 for i in range(len(w) - run + 1)]
             self.passages.append([(places[i] - 1, b" " + b" ".join(w[i : i + run]) + b" ") for i in range(len(w) - run + 1)])
+            begin, size = np.array([p for p, _ in self.passages[-1]]), np.array([len(x) for _, x in self.passages[-1]])
+            self.spans.append((begin, begin + size - Q + 1, size - Q + 1 - Q * max_edits))
             self.items.append(item)
             self.bounds.append(min(lengths) - Q + 1 - Q * max_edits)
             kept += line + bytes(Q)
@@ -191,24 +195,40 @@ def _banded(index: ItemIndex, docs: list[bytes], begins: np.ndarray, at: np.ndar
     if not len(ends) or not ends[-1]:
         return
     hit = np.arange(ends[-1]) + np.repeat(lo - (ends - count), count)
-    at, doc = np.repeat(at, count), np.repeat(doc, count)
-    line, place = index.line[hit], index.place[hit]
+    of = np.repeat(np.arange(len(at)), count)
+    line = index.line[hit]
+    # an item text with too few hits in a text has too few in any band
+    pair = ((doc - doc[0]) * len(index.items))[of] + line
+    if (doc[-1] - doc[0] + 1) * len(index.items) < MOST_COUNTS:
+        enough = np.flatnonzero(np.bincount(pair)[pair] >= index.bounds[line])
+        if not len(enough):
+            return
+        hit, of, line, pair = hit[enough], of[enough], line[enough], pair[enough]
+    at, doc, place = at[of], doc[of], index.place[hit]
     diagonal = at - place - begins[doc]
     half = index.max_edits + 1
     for shift in (0, half):  # bands of 2 * half diagonals, each overlapping the next by half
         band = (diagonal + shift) // (2 * half)
-        order = np.lexsort((at, band, line, doc))
+        order = np.lexsort((band, pair))  # the hits come in the order of the text
         d, n, b, a, p = doc[order], line[order], band[order], at[order], place[order]
         first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (n[1:] != n[:-1]) | (b[1:] != b[:-1])])
         fresh = np.r_[True, a[1:] != a[:-1]] | np.r_[True, p[1:] != p[:-1]]  # a q-gram of the item counts once for each place in it
         size = np.add.reduceat(fresh.astype(np.int64), first)
-        for f in first[size >= index.bounds[n[first]]]:
+        until = np.r_[first[1:], len(d)]
+        enough = size >= index.bounds[n[first]]
+        for f, z in zip(first[enough], until[enough]):
             who = (int(d[f]), int(n[f]))
-            if who not in out:
-                low = int(b[f]) * 2 * half - shift
-                text = np.frombuffer(docs[who[0]], np.uint8)
-                if any(aligned(np.frombuffer(x, np.uint8), text, low + s - index.max_edits, low + 2 * half - 1 + s + index.max_edits, index.max_edits) for s, x in index.passages[who[1]]):
+            if who in out:
+                continue
+            held = np.unique(p[f:z])
+            begin, end, bound = index.spans[who[1]]
+            likely = np.flatnonzero(np.searchsorted(held, end) - np.searchsorted(held, begin) >= bound)
+            low = int(b[f]) * 2 * half - shift - index.max_edits
+            text = np.frombuffer(docs[who[0]], np.uint8)
+            for s, x in (index.passages[who[1]][i] for i in likely):
+                if aligned(np.frombuffer(x, np.uint8), text, low + s, low + s + 2 * (half + index.max_edits) - 1, index.max_edits):
                     out.add(who)
+                    break
 
 
 def _bounded(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
