@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from typing import Protocol
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from provisio.functions.citations import mention_key, mentions, prefixes
 from provisio.functions.text import tokens
+from provisio.runtime import cut
 
+LONG_WORD = re.compile("[a-z0-9]{5,}")
 REFUSAL = "INSUFFICIENT_CONTEXT"
 REFUSAL_REASON = "insufficient context"
 ANSWER = (
@@ -71,20 +74,20 @@ class Generator(Protocol):
 
 
 class ExtractiveGenerator:
-    """Offline stand-in: the first sentences that share words with the question, with their citation."""
+    """Offline stand-in: of the first blocks that have one, the first sentence that shares two longer words with the question, and its citation."""
 
     model = "extractive"
+    blocks = 3
 
     def __call__(self, question: str, context: str) -> str:
-        asked = {w for w in question.lower().split() if len(w) > 4}
+        asked = set(LONG_WORD.findall(question.lower()))
         out = []
         for block in context.split("\n\n["):
-            head, _, body = block.partition("]\n")
-            for sentence in body.split(". "):
-                if len(asked & set(sentence.lower().split())) >= 2:
-                    out.append(f"{sentence.strip().rstrip('.')} ({head.lstrip('[')}).")
-                    break
-        return " ".join(out[:3]) or REFUSAL
+            head, _, body = block.removeprefix("[").partition("]\n")
+            fits = (s for s in body.split(". ") if len(asked.intersection(LONG_WORD.findall(s.lower()))) >= 2)
+            if (sentence := next(fits, None)) is not None:
+                out.append(f"{sentence} ({head}).")
+        return " ".join(out[: self.blocks]) or REFUSAL
 
 
 def generate(inputs: DataFrame, generator: Generator) -> DataFrame:
@@ -106,7 +109,7 @@ def generate(inputs: DataFrame, generator: Generator) -> DataFrame:
 def answers(questions: DataFrame, ranked: DataFrame, chunks: DataFrame, generator: Generator) -> DataFrame:
     """The answer row of each question: text, grounded citations, refusal and trace."""
     context = contexts(ranked, chunks)
-    raw = generate(questions.join(context, "query_id", "left"), generator)
+    raw = cut(generate(questions.join(context, "query_id", "left"), generator))  # each question is asked once
     held = ranked.select("query_id", "chunk_id").join(chunks.select("chunk_id", "citation"), "chunk_id")
     cited = grounded_citations(raw.select("query_id", F.col("raw").alias("text")), held)
     refused = is_refusal(F.col("raw"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provisio.functions.text import tokens
+from provisio.operators.best import Best
 from provisio.runtime import broadcast_if_small, cut
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -66,11 +67,11 @@ def top_k(index: Index, questions: DataFrame, k: int, *, question_block: int = 1
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, terms, first, who, weight = sent.value
-            best = _Best(len(ids), k)
+            best = Best(len(ids), k)
             for b in batches:
                 for a in range(0, b.num_rows, 1000):
                     part = b.slice(a, 1000)
-                    best.add(part.column(0).to_pylist(), part.column(1).to_numpy(), _scores(part, terms, first, who, weight, len(ids), avgdl))
+                    best.add(np.array(part.column(0).to_pylist(), object), part.column(1).to_numpy(), _scores(part, terms, first, who, weight, len(ids), avgdl).T)
             q, chunk, pos, score = best.rows()
             for a in range(0, len(q), 50_000):
                 at = slice(a, a + 50_000)
@@ -117,32 +118,3 @@ def _scores(part: pa.RecordBatch, terms: pa.Array, first: np.ndarray, who: np.nd
     cell = np.repeat(doc, count) * questions + who[at]
     total = np.bincount(cell, weights=np.repeat(gain, count) * weight[at], minlength=n * questions)
     return np.round(total.reshape(n, questions), 9)
-
-
-class _Best:
-    """The best ``k`` chunks of each question so far, by score and then place."""
-
-    def __init__(self, questions: int, k: int):
-        self.k, self.ids = k, []
-        self.pos = np.zeros((questions, 0), np.int64)
-        self.score = np.zeros((questions, 0))
-        self.at = np.zeros((questions, 0), np.int64)
-
-    def add(self, ids: list[str], pos: np.ndarray, score: np.ndarray) -> None:
-        questions = len(self.pos)
-        if not questions or not ids:
-            return
-        by_place = np.argsort(pos, kind="stable")
-        top = by_place[np.argsort(-score[by_place].T, axis=1, kind="stable")[:, : self.k]]
-        pos = np.concatenate([self.pos, pos[top]], axis=1)
-        value = np.concatenate([self.score, np.take_along_axis(score.T, top, 1)], axis=1)
-        at = np.concatenate([self.at, top + len(self.ids)], axis=1)
-        order = np.lexsort((pos, -value), axis=1)[:, : self.k]
-        self.pos, self.score, self.at = (np.take_along_axis(x, order, 1) for x in (pos, value, at))
-        every = self.ids + ids  # only the ids that are still among the best stay
-        used, self.at = np.unique(self.at, return_inverse=True)
-        self.ids, self.at = [every[i] for i in used], self.at.reshape(questions, -1)
-
-    def rows(self) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-        q = np.repeat(np.arange(len(self.pos)), self.pos.shape[1])
-        return q, [self.ids[i] for i in self.at.ravel()], self.pos.ravel(), self.score.ravel()

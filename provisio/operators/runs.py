@@ -28,9 +28,9 @@ def remaining(golden: DataFrame, rows: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def upserted(vectors: DataFrame, *, key: str = "chunk_id", at: str = "embedded_at") -> DataFrame:
-    """One row for each key, the latest one."""
+    """One row for each key, the latest one; of equal times the largest hash counts."""
     cols = [c for c in vectors.columns if c != key]
-    return vectors.groupBy(key).agg(F.max_by(F.struct(*cols), at).alias("r")).select(key, "r.*")
+    return vectors.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(at, F.xxhash64(*cols))).alias("r")).select(key, "r.*")
 
 
 def drift(corpus: DataFrame, vectors: DataFrame, *, key: str = "chunk_id") -> DataFrame:

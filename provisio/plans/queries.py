@@ -11,9 +11,10 @@ from provisio.functions import citations as cite
 from provisio.functions.text import tokens
 from provisio.operators import answer, bm25, dense, fusion, html, ingest, lookup, metrics, runs
 from provisio.operators.embed import HashingEmbedder, embedded
+from provisio.plans.evaluate import score_items
 from provisio.plans.pipeline import ABLATION, PipelineConfig, retrieve
 from provisio.runtime import cut, ensure_checkpoint_dir
-from provisio.sources.corpus import corpus, latest, registered
+from provisio.sources.corpus import corpus, latest, read_vectors, registered, upsert_vectors
 from provisio.sources.tables import table
 from provisio.streaming.questions import serve
 
@@ -53,6 +54,24 @@ def fused(spark: SparkSession, d: str) -> DataFrame:
     return fusion.reciprocal_rank_fusion([rows.filter(F.col("retriever") == x) for x in ("dense", "sparse")])
 
 
+def retrieved_by(spark: SparkSession, d: str, configs: dict[str, PipelineConfig]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(lists by configuration, chunks) for the questions that name their provisions; corpus, vectors and index are made once.
+
+    Hashed words stand in for a model's vectors.
+    """
+    embedder = HashingEmbedder(DIM)
+    chunks = cut(corpus(spark, d))
+    asked = cited_questions(spark, d)
+    vectors = cut(embedded(chunks.select("chunk_id", "text"), embedder).select("chunk_id", "embedding")) if any(c.use_dense for c in configs.values()) else None
+    index = bm25.build(chunks) if any(c.use_sparse for c in configs.values()) else None
+    return {n: retrieve(asked, chunks, c, vectors=vectors, embedder=embedder, index=index) for n, c in configs.items()}, chunks
+
+
+def hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lists, chunks = retrieved_by(spark, d, {"hybrid": ABLATION["hybrid"]})
+    return lists["hybrid"], chunks
+
+
 # --- scans and sinks
 
 
@@ -199,6 +218,29 @@ def html_paragraph_paths(spark: SparkSession, d: str) -> DataFrame:
     return out.select("filename", F.col("seq").cast("long").alias("seq"), F.array_join(F.transform("path", lambda p: F.concat(p["role"], F.lit(":"), p["label"])), "/").alias("path"))
 
 
+@query
+def corpus_build(spark: SparkSession, d: str) -> DataFrame:
+    """All three parsers end to end: nested statute pages, flat regulation pages and headed sections become one corpus in registry order."""
+    reg = table(spark, d, "registry").withColumn("doc_pos", F.row_number().over(Window.orderBy("filename")))
+    rows = corpus(spark, d).filter("length(trim(text)) > 0").withColumn("citation_prefix", F.regexp_replace("citation", r"( —|\().*$", ""))
+    rows = rows.join(F.broadcast(reg.select("citation_prefix", "filename")), "citation_prefix")
+    rows = rows.withColumns({"kind": F.lower(F.trim("source_type")), "labels": F.regexp_extract_all("citation", F.lit(r"\(([A-Za-z0-9]+)\)"), F.lit(1)), "body": F.regexp_replace("text", r"\s+", " ")})
+    plain = F.replace(F.replace(F.replace(F.col("body"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    # a statute page holds each chunk in divisions of its own
+    opens = F.array_join(F.transform("labels", lambda x: F.concat(F.lit('<div class="subsection"><span class="num" value="'), x, F.lit('"></span>'))), "")
+    division = F.concat(opens, F.lit('<div class="content">'), plain, F.lit("</div>"), F.repeat(F.lit("</div>"), F.size("labels")))
+    pages = lambda kind, part: rows.filter(F.col("kind") == kind).groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("p")))).alias("ps"))
+    statutes = html.parse_statutes(pages("statute", division).select("filename", F.concat(F.lit('<div class="section">'), F.array_join(F.col("ps.p"), ""), F.lit("</div>")).alias("html")))
+    label = F.try_element_at("labels", F.lit(-1))
+    para = F.concat(F.lit('<p class="psection-'), F.greatest(F.size("labels"), F.lit(1)).cast("string"), F.lit('">'), F.when(label.isNotNull(), F.concat(F.lit('<span class="enumxml">('), label, F.lit(")</span>"))).otherwise(F.lit("")), F.lit(" "), plain, F.lit("</p>"))
+    regulations = ingest.level_paths(html.parse_regulations(pages("regulation", para).select("filename", F.array_join(F.col("ps.p"), "\n").alias("html"))), doc="filename")
+    others = rows.filter(~F.col("kind").isin("statute", "regulation")).select(
+        "filename", F.col("pos").alias("seq"), F.array(F.struct(F.lit("heading").alias("role"), F.coalesce(F.nullif(F.regexp_extract("citation", " — (.*)$", 1), F.lit("")), F.lit(ingest.FIRST_HEADING)).alias("label"))).alias("path"), F.trim("body").alias("text"),
+    )
+    out = ingest.parse_corpus(statutes, regulations, others, reg)
+    return out.select("chunk_id", "citation", "text", "source_type", "authority_weight", "url", "pos")
+
+
 # --- retrieval
 
 
@@ -268,27 +310,60 @@ def citation_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hybrid_with_citation(spark: SparkSession, d: str) -> DataFrame:
+    """Dense and sparse lists of ``k_retrieve`` fused, looked-up provisions first, cut at ``k_final``."""
+    return rounded(hybrid(spark, d)[0])
+
+
+@query
+def sparse_with_citation(spark: SparkSession, d: str) -> DataFrame:
     """Sparse retrieval with looked-up provisions first."""
-    config = PipelineConfig(use_dense=False, use_sparse=True)
-    return rounded(retrieve(cited_questions(spark, d), corpus(spark, d), config))
+    return rounded(retrieved_by(spark, d, {"sparse": ABLATION["bm25_only"]})[0]["sparse"])
+
+
+@query
+def hybrid_in_force(spark: SparkSession, d: str) -> DataFrame:
+    """Fused lists without looked-up provisions, only chunks in force in a question's year, heavier authorities first among equals."""
+    config = PipelineConfig(use_sparse=True, use_citation_lookup=False, order_by_authority=True, filter_tax_year=True)
+    return rounded(retrieved_by(spark, d, {"own": config})[0]["own"])
 
 
 @query
 def ablation_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Every configuration over all questions, with hashed vectors standing in for a model's."""
-    embedder = HashingEmbedder(DIM)
-    chunks = corpus(spark, d)
-    vectors = embedded(chunks.select("chunk_id", "text"), embedder).select("chunk_id", "embedding")
+    """Every configuration over all questions."""
     out = None
-    for name, config in ABLATION.items():
-        rows = retrieve(cited_questions(spark, d), chunks, config, vectors=vectors, embedder=embedder).withColumn("config", F.lit(name))
+    for name, rows in retrieved_by(spark, d, ABLATION)[0].items():
+        rows = rows.withColumn("config", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return rounded(out)
 
 
+def spelled(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("embedding", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ","))
+
+
 @query
 def embed_hash_udf(spark: SparkSession, d: str) -> DataFrame:
-    return embedded(corpus(spark, d).select("chunk_id", "text"), HashingEmbedder(DIM)).select("chunk_id", "embedding")
+    return spelled(embedded(corpus(spark, d).select("chunk_id", "text"), HashingEmbedder(DIM)).select("chunk_id", "embedding"))
+
+
+@query
+def embed_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with the instruction before them."""
+    return spelled(embedded(questions(spark, d), HashingEmbedder(DIM), text_col="question", is_query=True).select("query_id", "embedding"))
+
+
+@query
+def vector_store(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written in two loads, the second over the first, and read back."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/vectors-{uuid.uuid4().hex}"
+    rows = table(spark, d, "chunk_vectors").withColumn("width", F.size("embedding")).drop("embedding")
+    late = F.xxhash64("chunk_id", "embedded_at") % 2 == 0
+    upsert_vectors(rows.filter(late), path)
+    upsert_vectors(rows.filter(~late), path)
+    return read_vectors(spark, path).select("chunk_id", "embedded_at", F.col("width").cast("long").alias("width"))
 
 
 @query
@@ -317,19 +392,6 @@ def spoken(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return first.select("query_id", "text"), held.select("query_id", "citation")
 
 
-@query
-def context_build(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "retrieved").filter("retriever = 'sparse' and rank <= 5").groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
-    return answer.contexts(rows, corpus(spark, d))
-
-
-@query
-def prompts(spark: SparkSession, d: str) -> DataFrame:
-    ranked = table(spark, d, "retrieved").filter("retriever = 'dense' and rank <= 5").groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
-    out = answer.contexts(ranked, corpus(spark, d)).withColumn("prompt", answer.prompt(F.col("context"), F.concat(F.lit("question "), F.col("query_id"))))
-    return out.select("query_id", F.length("prompt").cast("long").alias("n_chars"), answer.is_refusal(F.col("context")).alias("refused"))
-
-
 def all_lists_fused(spark: SparkSession, d: str) -> DataFrame:
     """The ``k_final`` best of each query over the lists of all retrievers, among chunks still in the corpus.
 
@@ -344,14 +406,14 @@ def all_lists_fused(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def fused_contexts(spark: SparkSession, d: str) -> DataFrame:
+def context_build(spark: SparkSession, d: str) -> DataFrame:
     return answer.contexts(all_lists_fused(spark, d), corpus(spark, d))
 
 
 @query
-def fused_prompts(spark: SparkSession, d: str) -> DataFrame:
-    out = fused_contexts(spark, d).withColumn("prompt", answer.prompt(F.col("context"), F.concat(F.lit("question "), F.col("query_id"))))
-    return out.select("query_id", F.length("prompt").cast("long").alias("n_chars"), answer.is_refusal(F.col("context")).alias("refused"))
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    out = context_build(spark, d).withColumn("prompt", answer.prompt(F.col("context"), F.concat(F.lit("question "), F.col("query_id"))))
+    return out.select("query_id", "prompt", answer.is_refusal(F.col("context")).alias("refused"))
 
 
 @query
@@ -371,9 +433,9 @@ def hallucinated_citations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extractive_answers(spark: SparkSession, d: str) -> DataFrame:
-    chunks = corpus(spark, d)
-    ranked = retrieve(cited_questions(spark, d), chunks, PipelineConfig(use_dense=False, use_sparse=True))
-    return answer.answers(questions(spark, d), ranked, chunks, answer.ExtractiveGenerator())
+    ranked, chunks = hybrid(spark, d)
+    out = answer.answers(questions(spark, d), cut(ranked), chunks, answer.ExtractiveGenerator())
+    return out.select("query_id", "text", "citations", "refused", "refusal_reason", "trace.model", "trace.cost_usd")
 
 
 # --- evaluation
@@ -391,8 +453,7 @@ def citation_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recall_rows(spark: SparkSession, d: str) -> DataFrame:
-    chunks = corpus(spark, d)
-    ranked = retrieve(cited_questions(spark, d), chunks, PipelineConfig(use_dense=False, use_sparse=True))
+    ranked, chunks = hybrid(spark, d)
     return metrics.retrieval_scores(golden(spark, d), ranked, chunks)
 
 
@@ -438,26 +499,12 @@ def judge_json_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def full_run(spark: SparkSession, d: str) -> DataFrame:
-    """Retrieve once, answer, judge and score every question, with the offline stand-ins."""
-    chunks = corpus(spark, d)
-    asked = questions(spark, d)
-    ranked = cut(retrieve(cited_questions(spark, d), chunks, PipelineConfig(use_dense=False, use_sparse=True)))
-    said = cut(answer.answers(asked, ranked, chunks, answer.ExtractiveGenerator()))
-    context = answer.contexts(ranked, chunks)
-    judged = metrics.judge(asked.join(said, "query_id").join(context, "query_id", "left").select("query_id", "question", "text", "context", "refused"), metrics.OverlapJudge())
-    held = ranked.join(chunks.select("chunk_id", "citation"), "chunk_id").select("query_id", "citation")
-    made_up = metrics.hallucinated(said, held).groupBy("query_id").agg(F.collect_set("token").alias("hallucinated_citations"))
-    scores = metrics.retrieval_scores(golden(spark, d), ranked, chunks).join(metrics.citation_accuracy(golden(spark, d), said), "id")
-    out = scores.withColumnRenamed("id", "query_id").join(said, "query_id").join(judged, "query_id").join(made_up, "query_id", "left")
-    return out.select(
-        F.col("query_id").alias("id"), "category", F.col("recall").alias("recall_at_5"), "mrr", "citation_accuracy", F.coalesce("hallucinated_citations", F.array().cast("array<string>")).alias("hallucinated_citations"),
-        "groundedness", "premise_correction", "judge_reasoning", "refused", F.col("trace.latency_s").alias("latency_s"), F.col("trace.cost_usd").alias("cost_usd"),
-    )
+    """Retrieve once, answer, judge and score every question, with the offline stand-ins; times are left out."""
+    ranked, chunks = hybrid(spark, d)
+    out = score_items(golden(spark, d), cut(ranked), chunks, generator=answer.ExtractiveGenerator(), judge=metrics.OverlapJudge())
+    return out.drop("latency_s").withColumns({c: F.round(c, 6) for c in ("recall_at_5", "mrr", "citation_accuracy")}).withColumn("hallucinated_citations", F.array_sort("hallucinated_citations"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid retrieval: sparse and dense lists fused, cited provisions first."""
-    embedder = HashingEmbedder(DIM)
-    chunks = corpus(spark, d)
-    vectors = embedded(chunks.select("chunk_id", "text"), embedder).select("chunk_id", "embedding")
-    return rounded(retrieve(cited_questions(spark, d), chunks, ABLATION["hybrid"], vectors=vectors, embedder=embedder))
+    return hybrid_with_citation(spark, d)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from provisio.functions.text import FURNITURE, STOPWORDS
-from provisio.operators.answer import INSTRUCTIONS, REFUSAL
+from provisio.operators.answer import INSTRUCTIONS, REFUSAL, REFUSAL_REASON
+from provisio.operators.embed import QUERY_PREFIX
 
 CORPUS = """corpus AS (
   SELECT * EXCLUDE (_n) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) AS _n FROM chunks) WHERE _n = 1
@@ -94,18 +95,64 @@ looked AS (
   )
 )"""
 
-HYBRID = f"""WITH {CORPUS}, {ASKED}, {PROVISIONS.strip()}, {LOOKUP.strip()}, {bm25('asked', 5).strip()},
-merged AS (
+DIM = 64
+
+
+def hashed(select: str, text: str, source: str, name: str) -> str:
+    """Rows (select, dim, v): signed counts of the words' MD5; without any left, the first place is 1."""
+    return f"""{name}_words AS (SELECT {select}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS w FROM {source}),
+{name}_h AS (SELECT {select}, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM {name}_words),
+{name}_some AS (SELECT {select}, h // 2 % {DIM} AS dim, sum(1 - 2 * (h % 2)) AS v FROM {name}_h GROUP BY ALL HAVING v <> 0),
+{name} AS (SELECT * FROM {name}_some UNION ALL SELECT {select}, 0, 1 FROM {source} WHERE {select} NOT IN (SELECT {select} FROM {name}_some))"""
+
+
+QUESTION = f"'{QUERY_PREFIX}' || coalesce(question, '')"
+
+
+def dense(k: int) -> str:
+    return f"""
+{hashed('chunk_id', "coalesce(text, '')", 'corpus', 'cv')},
+{hashed('query_id', QUESTION, 'asked', 'qv')},
+cn AS (SELECT chunk_id, sqrt(sum(v * v)) AS n FROM cv GROUP BY chunk_id),
+qn AS (SELECT query_id, sqrt(sum(v * v)) AS n FROM qv GROUP BY query_id),
+dots AS (SELECT query_id, chunk_id, sum(qv.v * cv.v) AS d FROM qv JOIN cv USING (dim) GROUP BY ALL),
+dense AS (
+  SELECT query_id, chunk_id, score, rank::INTEGER AS rank, 'dense' AS retriever FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+      SELECT q.query_id, c.chunk_id, round(coalesce(d.d, 0) / (q.n * c.n), 9) AS score FROM qn q CROSS JOIN cn c LEFT JOIN dots d ON d.query_id = q.query_id AND d.chunk_id = c.chunk_id
+    )
+  ) WHERE rank <= {k}
+)"""
+
+
+MIXED = """mixed AS (
+  SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d NULLS LAST, s NULLS LAST, chunk_id)::INTEGER AS rank,
+    CASE WHEN s IS NULL THEN 'dense' WHEN d IS NULL THEN 'sparse' ELSE 'dense+sparse' END AS retriever
+  FROM (
+    SELECT query_id, chunk_id, d.rank AS d, s.rank AS s, round(coalesce(1.0::DOUBLE / (60.0 + d.rank), 0) + coalesce(1.0::DOUBLE / (60.0 + s.rank), 0), 12) AS score
+    FROM dense d FULL JOIN sparse s USING (query_id, chunk_id)
+  )
+)"""
+
+
+def merged(source: str, name: str = "merged") -> str:
+    """Looked-up provisions, then the rest of the source, cut at 5."""
+    return f"""{name} AS (
   SELECT query_id, chunk_id, score, rank::INTEGER AS rank, retriever FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, o, chunk_id) AS rank FROM (
       SELECT query_id, chunk_id, 1.0::DOUBLE AS score, ord AS o, 'citation' AS retriever, 0 AS src FROM looked
       UNION ALL
-      SELECT query_id, chunk_id, score, rank, retriever, 1 FROM sparse s
+      SELECT query_id, chunk_id, score, rank, retriever, 1 FROM {source} s
       WHERE NOT EXISTS (SELECT 1 FROM looked l WHERE l.query_id = s.query_id AND l.chunk_id = s.chunk_id)
     )
   ) WHERE rank <= 5
 )"""
 
+
+LISTS = f"""WITH {CORPUS}, {ASKED}, {PROVISIONS.strip()}, {LOOKUP.strip()}, {bm25('asked', 20).strip()}, {dense(20).strip()}, {MIXED}"""
+HYBRID = f"{LISTS}, {merged('mixed')}"
+RESULT = "SELECT query_id, chunk_id, round(score, 6) AS score, rank, retriever"
+
 FUSED = """ranks AS (
   SELECT query_id, chunk_id, min(rank) FILTER (retriever = 'dense') AS d, min(rank) FILTER (retriever = 'sparse') AS s
   FROM retrieved WHERE retriever IN ('dense', 'sparse') AND rank IS NOT NULL GROUP BY ALL
@@ -115,6 +162,26 @@ FUSED = """ranks AS (
   FROM (SELECT *, round(coalesce(1.0::DOUBLE / (60.0 + d), 0) + coalesce(1.0::DOUBLE / (60.0 + s), 0), 12) AS score FROM ranks)
 )"""
 
+# every list of every retriever, a missing rank being the place by score
+CONTEXT = f"""WITH {CORPUS}, listed AS (
+  SELECT query_id, chunk_id, retriever, min(rank) AS rank, max(CASE WHEN isfinite(score) THEN score END) AS s
+  FROM retrieved WHERE chunk_id IN (SELECT chunk_id FROM corpus) GROUP BY ALL
+), placed AS (
+  SELECT query_id, chunk_id, retriever, coalesce(rank, row_number() OVER (PARTITION BY query_id, retriever ORDER BY s DESC NULLS LAST, chunk_id)) AS rank FROM listed
+), summed AS (
+  SELECT query_id, chunk_id, min(rank) FILTER (retriever = 'dense') AS a, min(rank) FILTER (retriever = 'sparse') AS b, min(rank) FILTER (retriever = 'dense+sparse') AS c
+  FROM placed GROUP BY ALL
+), best AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, a NULLS LAST, b NULLS LAST, c NULLS LAST, chunk_id) AS rank
+    FROM (SELECT *, round(coalesce(1.0::DOUBLE / (60.0 + a), 0) + coalesce(1.0::DOUBLE / (60.0 + b), 0) + coalesce(1.0::DOUBLE / (60.0 + c), 0), 12) AS score FROM summed)
+  ) WHERE rank <= 5
+), contexts AS (
+  SELECT query_id, string_agg('[' || coalesce(citation, '') || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank, chunk_id) AS context
+  FROM best JOIN corpus USING (chunk_id) GROUP BY query_id
+)"""
+PROMPT_HEAD = (INSTRUCTIONS.format(refusal=REFUSAL) + "\n\nSource excerpts:\n\n").replace("'", "''")
+
 REQUIRED = rf"""req AS (
   SELECT query_id, category, (row_number() OVER (PARTITION BY query_id ORDER BY place) - 1)::BIGINT AS n, {citation_key('part')} AS req_key FROM (
     SELECT id AS query_id, category, unnest(range(len(parts))) AS place, regexp_replace(unnest(parts), '^\s+|\s+$', '', 'g') AS part
@@ -146,6 +213,39 @@ borne AS (
   WHERE EXISTS (SELECT 1 FROM held h WHERE h.query_id = f.query_id AND (starts_with({mention_key('h.citation')}, f.key) OR starts_with(f.key, {mention_key('h.citation')})))
 )"""
 
+# answers of the stand-in: sentences that share two longer words with the question
+SAID = RECALL + f""",
+ask AS (SELECT id AS query_id, list_distinct(regexp_extract_all(lower(coalesce(question, '')), '[a-z0-9]{{5,}}')) AS asked FROM golden_set),
+blocks AS (
+  SELECT m.query_id, m.rank, m.chunk_id, coalesce(c.citation, '') AS head,
+    list_filter(string_split(coalesce(c.text, ''), '. '), lambda x: len(list_intersect(list_distinct(regexp_extract_all(lower(x), '[a-z0-9]{{5,}}')), a.asked)) >= 2)[1] AS sentence
+  FROM merged m JOIN corpus c USING (chunk_id) JOIN ask a USING (query_id)
+),
+spoken AS (
+  SELECT query_id, string_agg(sentence || ' (' || head || ').', ' ' ORDER BY n) AS text
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS n FROM blocks WHERE sentence IS NOT NULL) WHERE n <= 3 GROUP BY query_id
+),
+said AS (SELECT g.id AS query_id, regexp_replace(coalesce(s.text, '{REFUSAL}'), '^[\\s]+|[\\s]+$', '', 'g') AS text FROM golden_set g LEFT JOIN spoken s ON s.query_id = g.id),
+held AS (SELECT DISTINCT m.query_id, c.citation FROM merged m JOIN corpus c USING (chunk_id)),
+found AS (SELECT query_id, unnest(range(len(ms)))::BIGINT AS place, unnest(ms) AS mention FROM (SELECT query_id, regexp_extract_all(text, '{MENTION}', 1) AS ms FROM said)),
+firsts AS (SELECT query_id, {mention_key('mention')} AS key, arg_min(mention, place) AS mention, min(place) AS ord FROM found GROUP BY ALL),
+borne AS (
+  SELECT query_id, mention, ord FROM firsts f
+  WHERE EXISTS (SELECT 1 FROM held h WHERE h.query_id = f.query_id AND (starts_with({mention_key('h.citation')}, f.key) OR starts_with(f.key, {mention_key('h.citation')})))
+),
+answers AS (SELECT s.query_id, s.text, coalesce(list(b.mention ORDER BY b.ord) FILTER (b.mention IS NOT NULL), []) AS citations, contains(s.text, '{REFUSAL}') AS refused FROM said s LEFT JOIN borne b USING (query_id) GROUP BY ALL)"""
+
+SCORED_ITEMS = SAID + f""",
+given AS (SELECT DISTINCT query_id, {citation_key('c')} AS key FROM (SELECT query_id, unnest(citations) AS c FROM answers)),
+right_ AS (SELECT r.query_id, count(DISTINCT r.n) AS h FROM req r JOIN given c ON c.query_id = r.query_id AND (starts_with(r.req_key, c.key) OR starts_with(c.key, r.req_key)) GROUP BY r.query_id),
+tokens_ AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(text, '{TOKEN}', 1))) AS token FROM said),
+wrong_ AS (SELECT query_id, list(token ORDER BY token) AS tokens FROM tokens_ t WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.query_id = t.query_id AND {citation_key('h.citation')} = {citation_key('t.token')}) GROUP BY query_id),
+seen AS (SELECT query_id, lower(string_agg('[' || coalesce(citation, '') || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank, chunk_id)) AS context FROM merged JOIN corpus USING (chunk_id) GROUP BY query_id),
+judged AS (
+  SELECT a.query_id, regexp_extract_all(lower(a.text), '[a-z0-9]{{6,}}') AS ws, list_filter(regexp_extract_all(lower(a.text), '[a-z0-9]{{6,}}'), lambda w: contains(coalesce(s.context, ''), w)) AS hs
+  FROM answers a LEFT JOIN seen s USING (query_id) WHERE NOT a.refused
+)"""
+
 LEVELED = rf"""leveled AS (
   SELECT regexp_replace(citation, '\(.*$', '') AS doc, pos AS seq, greatest(len(labels), 1) AS level, coalesce(labels[len(labels)], '?') AS label, coalesce(text, '') AS text
   FROM (SELECT *, regexp_extract_all(citation, '\(([A-Za-z0-9]+)\)', 1) AS labels FROM corpus WHERE lower(trim(source_type)) IN ('statute', 'regulation'))
@@ -232,16 +332,54 @@ ORACLE_SQL: dict[str, str] = {
         SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.query_id = h.query_id AND starts_with(h.pid, o.pid || '-'))""",
     "citation_lookup": f"WITH {CORPUS}, {ASKED}, {PROVISIONS.strip()}, {LOOKUP.strip()} SELECT query_id, chunk_id, ord FROM looked",
     "stream_lookup": f"WITH {CORPUS}, {ASKED}, {PROVISIONS.strip()}, {LOOKUP.strip()} SELECT query_id, chunk_id, ord FROM looked",
-    "hybrid_with_citation": HYBRID + " SELECT query_id, chunk_id, round(score, 6) AS score, rank, retriever FROM merged",
-    "context_build": f"""WITH {CORPUS}, r AS (SELECT query_id, chunk_id, min(rank) AS rank FROM retrieved WHERE retriever = 'sparse' AND rank <= 5 GROUP BY ALL)
-        SELECT query_id, string_agg('[' || coalesce(citation, '') || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank, chunk_id) AS context FROM r JOIN corpus USING (chunk_id) GROUP BY query_id""",
-    "prompts": f"""WITH {CORPUS}, r AS (SELECT query_id, chunk_id, min(rank) AS rank FROM retrieved WHERE retriever = 'dense' AND rank <= 5 GROUP BY ALL),
-        c AS (SELECT query_id, string_agg('[' || coalesce(citation, '') || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank, chunk_id) AS context FROM r JOIN corpus USING (chunk_id) GROUP BY query_id)
-        SELECT query_id, {len(INSTRUCTIONS.format(refusal=REFUSAL))} + length(chr(10) || chr(10) || 'Source excerpts:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: question ' || query_id) AS n_chars, contains(context, '{REFUSAL}') AS refused FROM c""",
+    "hybrid_with_citation": f"{HYBRID} {RESULT} FROM merged",
+    "sparse_with_citation": f"WITH {CORPUS}, {ASKED}, {PROVISIONS.strip()}, {LOOKUP.strip()}, {bm25('asked', 5).strip()}, {merged('sparse')} {RESULT} FROM merged",
+    "hybrid_in_force": f"""{LISTS}, valid AS (
+          SELECT m.*, c.authority_weight FROM mixed m JOIN corpus c USING (chunk_id) JOIN golden_set g ON g.id = m.query_id
+          WHERE g.tax_year IS NULL OR ((tax_year_start IS NULL OR g.tax_year >= least(tax_year_start, tax_year_end)) AND (tax_year_end IS NULL OR g.tax_year <= greatest(tax_year_start, tax_year_end)))
+        ), again AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, authority_weight DESC NULLS LAST, rank)::INTEGER AS rank) FROM valid)
+        {RESULT} FROM again WHERE rank <= 5""",
+    "ablation_matrix": f"""{LISTS}, {merged('mixed')}, {merged('(SELECT * FROM dense WHERE rank <= 5)', 'dense_first')}, {merged('(SELECT * FROM sparse WHERE rank <= 5)', 'sparse_first')}
+        {RESULT}, 'hybrid' AS config FROM merged UNION ALL {RESULT}, 'dense_only' FROM dense_first UNION ALL {RESULT}, 'bm25_only' FROM sparse_first""",
+    "embed_hash_udf": f"""WITH {CORPUS}, {hashed('chunk_id', "coalesce(text, '')", 'corpus', 'cv')}
+        SELECT chunk_id, string_agg(coalesce(v, 0)::INTEGER::VARCHAR, ',' ORDER BY i) AS embedding FROM (SELECT chunk_id, unnest(range({DIM})) AS i FROM corpus) LEFT JOIN (SELECT chunk_id, dim AS i, v FROM cv) USING (chunk_id, i) GROUP BY chunk_id""",
+    "embed_questions": f"""WITH asked AS (SELECT id AS query_id, question FROM golden_set), {hashed('query_id', QUESTION, 'asked', 'qv')}
+        SELECT query_id, string_agg(coalesce(v, 0)::INTEGER::VARCHAR, ',' ORDER BY i) AS embedding FROM (SELECT query_id, unnest(range({DIM})) AS i FROM asked) LEFT JOIN (SELECT query_id, dim AS i, v FROM qv) USING (query_id, i) GROUP BY query_id""",
+    "vector_store": "SELECT chunk_id, max(embedded_at) AS embedded_at, len(arg_max(ROW(embedding), embedded_at)[1]) AS width FROM chunk_vectors GROUP BY chunk_id",
+    "corpus_build": rf"""WITH {CORPUS}, reg AS (SELECT *, row_number() OVER (ORDER BY filename) AS doc_pos FROM registry),
+        rows_ AS (
+          SELECT r.filename, r.doc_pos, r.citation_prefix, r.source_type, r.authority_weight, r.url, c.citation, c.pos, lower(trim(c.source_type)) AS kind,
+            regexp_extract_all(c.citation, '\(([A-Za-z0-9]+)\)', 1) AS labels, trim(regexp_replace(c.text, '\s+', ' ', 'g')) AS body
+          FROM (SELECT *, {DOC} AS citation_prefix FROM corpus WHERE length(trim(text)) > 0) c JOIN reg r USING (citation_prefix)
+        ),
+        leveled AS (SELECT filename AS doc, row_number() OVER (PARTITION BY filename ORDER BY pos) - 1 AS seq, greatest(len(labels), 1) AS level, coalesce(labels[len(labels)], '?') AS label, body AS text FROM rows_ WHERE kind = 'regulation'),
+        regulations AS ({levels('seq')}),
+        sections_ AS (
+          SELECT filename, pos AS seq, array_to_string(list_transform(labels, lambda x: '(' || x || ')'), '') AS marks, array_to_string(list_transform(labels, lambda x: '(' || x || ')'), ' > ') AS steps, NULL AS heading, body FROM rows_ WHERE kind = 'statute'
+          UNION ALL SELECT doc, seq, '(' || replace(regexp_replace(path, '[0-9]+:', '', 'g'), '/', ')(') || ')', '(' || replace(regexp_replace(path, '[0-9]:', '', 'g'), '/', ') > (') || ')', NULL, text FROM regulations
+          UNION ALL SELECT filename, pos, '', '', coalesce(nullif(regexp_extract(citation, ' — (.*)$', 1), ''), 'Introduction'), body FROM rows_ WHERE kind NOT IN ('statute', 'regulation')
+        ),
+        cited AS (
+          SELECT s.filename, r.doc_pos, s.seq, r.source_type, r.authority_weight, r.url, CASE WHEN heading IS NULL THEN r.citation_prefix || marks ELSE r.citation_prefix || ' — ' || heading END AS citation,
+            CASE WHEN heading IS NOT NULL THEN r.citation_prefix || ' > ' || heading WHEN steps = '' THEN r.citation_prefix ELSE r.citation_prefix || ' > ' || steps END || ' — ' || body AS text
+          FROM sections_ s JOIN reg r USING (filename) WHERE body <> ''
+        ),
+        slugs AS (SELECT *, regexp_replace(regexp_replace(lower(citation), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM cited),
+        nth AS (SELECT *, row_number() OVER (PARTITION BY filename, slug ORDER BY seq) AS n, row_number() OVER (ORDER BY doc_pos, seq) - 1 AS pos FROM slugs)
+        SELECT CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS chunk_id, citation, text, source_type, authority_weight, url, pos FROM nth""",
+    "context_build": CONTEXT + " SELECT query_id, context FROM contexts",
+    "prompts": CONTEXT + f" SELECT query_id, '{PROMPT_HEAD}' || context || chr(10) || chr(10) || 'Question: question ' || query_id AS prompt, contains(context, '{REFUSAL}') AS refused FROM contexts",
     "mention_extraction": MENTIONS + " SELECT query_id, mention, ord FROM borne",
     "grounded_citations": MENTIONS + " SELECT s.query_id, coalesce(list(b.mention ORDER BY b.ord) FILTER (b.mention IS NOT NULL), []) AS citations FROM said s LEFT JOIN borne b USING (query_id) GROUP BY s.query_id",
     "hallucinated_citations": SPOKEN + f""", t AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(text, '{TOKEN}', 1))) AS token FROM said)
         SELECT query_id, token FROM t WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.query_id = t.query_id AND {citation_key('h.citation')} = {citation_key('t.token')})""",
+    "extractive_answers": SAID + f" SELECT query_id, text, citations, refused, CASE WHEN refused THEN '{REFUSAL_REASON}' END AS refusal_reason, 'extractive' AS model, 0.0::DOUBLE AS cost_usd FROM answers",
+    "full_run": SCORED_ITEMS + """ SELECT g.id, g.category, round(g.recall, 6) AS recall_at_5, round(g.mrr, 6) AS mrr,
+          round(CASE WHEN n.n IS NOT NULL THEN coalesce(r.h, 0)::DOUBLE / n.n END, 6) AS citation_accuracy, a.refused, 0.0::DOUBLE AS cost_usd,
+          (5 * len(j.hs) >= 4 * len(j.ws))::INTEGER AS groundedness, CASE WHEN j.ws IS NOT NULL THEN 1 END AS premise_correction, len(j.hs) || ' of ' || len(j.ws) || ' words' AS judge_reasoning,
+          coalesce(w.tokens, []) AS hallucinated_citations
+        FROM recall_rows g JOIN answers a ON a.query_id = g.id LEFT JOIN (SELECT query_id, count(*) AS n FROM req GROUP BY query_id) n ON n.query_id = g.id
+        LEFT JOIN right_ r ON r.query_id = g.id LEFT JOIN wrong_ w ON w.query_id = g.id LEFT JOIN judged j ON j.query_id = g.id""",
     "required_keys": f"WITH {REQUIRED} SELECT query_id, category, n, req_key FROM req",
     "citation_keys": f"WITH {CORPUS} SELECT chunk_id, {citation_key('citation')} AS citation_key, {mention_key('citation')} AS mention_key FROM corpus",
     "recall_mrr": RECALL + " SELECT id, category, round(recall, 6) AS recall, round(mrr, 6) AS mrr FROM recall_rows",

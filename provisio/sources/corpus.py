@@ -16,11 +16,10 @@ WORD_SCHEMA = "doc string, page int, seq int, text string, size double, fontname
 
 
 def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """One row for each key, that of the latest time: rows delivered again count once."""
-    order = Window.partitionBy(*keys).orderBy(F.col(at).desc_nulls_last())
-    # a fixed number of partitions, as what follows may be costly for its size
-    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    return spread.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    """One row for each key, that of the latest time: rows delivered again count once. Of equal times the smallest hash counts."""
+    others = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes if c not in keys]
+    order = Window.partitionBy(*keys).orderBy(F.col(at).desc_nulls_last(), F.xxhash64(*others))
+    return df.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,3 +104,44 @@ def vectors_from_npz(spark: SparkSession, path: str) -> DataFrame:
 def append_rows(df: DataFrame, path: str) -> None:
     """Results by run, appended; a run is continued, not rewritten."""
     df.write.mode("append").partitionBy("config", "run_id").parquet(path)
+
+
+def scan_registered(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
+    """(filename, doc_pos, kind, content) of the files of a folder, with the registry's columns; ``doc_pos`` is its order.
+
+    A file without a registry entry or a parser for its suffix fails the scan.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "content")
+    suffix = F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1))
+    return registered(files, registry).withColumn("kind", F.when(suffix == "pdf", suffix).otherwise(F.lit("html")))
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("v=")]
+    done = [x.getName() for x in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(int(n[2:]) for n in done)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete version of a vector store."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no vectors in {path}")
+    return spark.read.parquet(f"{path}/v={versions[-1]}")
+
+
+def rebuild_vectors(df: DataFrame, path: str) -> None:
+    """Write the rows as the next version; readers of the last one are left alone, and a broken write counts for nothing."""
+    versions = _versions(df.sparkSession, path)
+    df.write.mode("overwrite").parquet(f"{path}/v={versions[-1] + 1 if versions else 1}")
+
+
+def upsert_vectors(df: DataFrame, path: str, *, key: str = "chunk_id", at: str = "embedded_at") -> None:
+    """Put rows in place of those of the same key, unless these are later; the first rows make the store."""
+    spark = df.sparkSession
+    every = read_vectors(spark, path).unionByName(df) if _versions(spark, path) else df
+    rebuild_vectors(latest(every, [key], at), path)

@@ -8,15 +8,15 @@ from provisio.plans.queries import QUERIES
 from provisio.plans.sql import ORACLE_SQL
 from provisio.sources.corpus import corpus
 
-NAMES = ("rrf_fusion", "citation_parse", "citation_lookup", "flat_level_paths", "heading_segments", "grounded_citations", "citation_accuracy", "run_summary", "judge_json_parse", "resume_anti_join", "bm25_topk")
+EMPTY: set[str] = set()
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, sf, name):
     if not os.path.isdir(sf):
         pytest.skip("no tables here")
     got, want = both(spark, sf, QUERIES[name], ORACLE_SQL[name])
-    assert got == want and got
+    assert got == want and (got or name in EMPTY)
 
 
 def test_contexts_take_all_retrievers(spark, sf):
@@ -39,9 +39,9 @@ def test_contexts_take_all_retrievers(spark, sf):
         names = ("dense", "sparse", "dense+sparse")
         key = lambda c: (-round(sum(1 / (60 + r) for r in members[c].values()), 12), *(members[c].get(n, math.inf) for n in names), c)  # noqa: B023, E731
         want[q] = "\n\n".join(f"[{chunks[c].citation or ''}]\n{chunks[c].text or ''}" for c in sorted(members, key=key)[:5])
-    got = {r.query_id: r.context for r in QUERIES["fused_contexts"](spark, sf).collect()}
+    got = {r.query_id: r.context for r in QUERIES["context_build"](spark, sf).collect()}
     assert got == want
-    assert {r.query_id for r in QUERIES["fused_prompts"](spark, sf).collect()} == set(want)
+    assert {r.query_id for r in QUERIES["prompts"](spark, sf).collect()} == set(want)
 
 
 def test_entry(spark):

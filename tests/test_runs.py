@@ -1,5 +1,8 @@
+import os
+
 import pytest
 
+from provisio.plans import evaluate
 from provisio.plans.evaluate import run
 from provisio.sources.config import load_env
 
@@ -33,3 +36,44 @@ def test_env_file(tmp_path):
     env = {"KEPT": "old"}
     assert load_env(str(tmp_path / ".env"), env) == {"A": "1", "B": "two"} and env == {"KEPT": "old", "A": "1", "B": "two"}
     assert load_env(str(tmp_path / "none"), env) == {}
+
+
+def failing(path, most, error):
+    """A generator that answers a few questions and then fails; every task starts anew, so it counts in a file."""
+
+    class Failing:
+        model = "failing"
+
+        def __call__(self, question, context):
+            with open(path, "a+") as f:
+                f.write("x")
+                f.flush()
+                if os.path.getsize(path) > most:
+                    raise error("no more")
+            return "INSUFFICIENT_CONTEXT"
+
+    return Failing()
+
+
+def test_blocks_are_kept_when_a_generator_fails(spark, sf, tmp_path):
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    out = str(tmp_path / "out")
+    how = {"limit": 40, "block": 10}
+    with pytest.raises(Exception, match="no more"):
+        evaluate.run(spark, sf, out, "bm25_only", generator=failing(str(tmp_path / "n1"), 30, KeyError), **how)
+    kept = spark.read.parquet(out).select("id").collect()
+    assert 5 < len(kept) < 40
+    # a limit ends the run quietly, in the same run
+    summary = evaluate.run(spark, sf, out, "bm25_only", resume=True, generator=failing(str(tmp_path / "n2"), 1, evaluate.RateLimited), **how).collect()
+    assert summary[0].questions == len(kept)
+    summary = evaluate.run(spark, sf, out, "bm25_only", resume=True, generator=failing(str(tmp_path / "n3"), 10**6, KeyError), **how).collect()
+    rows = spark.read.parquet(out)
+    assert len(summary) == 1 and summary[0].questions == 40 == rows.select("id").distinct().count() == rows.count()
+
+
+def test_a_run_stopped_at_once_has_no_summary(spark, sf, tmp_path):
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    got = evaluate.run(spark, sf, str(tmp_path / "out"), "bm25_only", limit=5, generator=failing(str(tmp_path / "n"), 0, evaluate.RateLimited))
+    assert got.count() == 0
