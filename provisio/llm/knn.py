@@ -1,20 +1,25 @@
-"""The k most similar vectors of every vector: cells, four-bit codes and exact reranking.
-
-A coarse spherical k-means, fitted on a bounded sample, gives the cells; every vector is stored
-in the cell of its nearest centroid and looked for in its nearest cells, the more of them the more
-cells there are (``probed``). What is left of a vector after its centroid is product-quantised with 16 codewords in each two-dimensional
-subspace (four bits). Codes and codebooks are fitted to the score-aware loss
+"""The k most similar vectors of every vector: cells, four-bit codes, table scans and exact reranking.
+
+A coarse spherical k-means, fitted on a bounded sample, gives the cells; with more vectors than it can
+tell apart, each of its cells is divided by the nearest of further centroids of what is left, the same ones for all,
+so that the number of cells follows the number of vectors. Every vector is stored in the cell nearest
+to it and looked for in its nearest cells, the more of them the more cells there are (``probed``). What
+is left of a vector after its cell's centre is product-quantised with 16 codewords in each
+two-dimensional subspace (four bits). Codes and codebooks are fitted to the score-aware loss
 ``|e|^2 + (eta - 1) <e, x>^2``, which punishes the part of the error e along the vector x, as
 that part is what changes the inner products that matter.
 
-Within a cell, the sum of a query's table entries over the codes of a member is the inner
-product with the decoded member, so the scan is one matrix product. The best ``rerank`` members
-of each cell are compared exactly, and the best ``k`` over all probed cells come out.
+For a query, its inner products with all codewords are tables; the entries that a member's codes
+point to, two codes to a byte, add up to the estimated score. The best ``rerank`` members of each cell are
+compared exactly, and the best ``k`` over all probed cells come out.
+
+Cells that lie together are one region, the unit of the shuffle: a vector goes there once for all
+its cells in it, and the best ``k`` of a region come back.
 
 Vectors that are null, of another length, not finite or all zero take no part; of several rows
 of one id the latest usable one counts. Of equal vectors, the ``k + 1`` smallest ids are
 indexed and the others get their list from these, so copies are never compared with each
-other. Large cells are split into blocks of members and of queries. Equal similarities are
+other. Large regions are split into blocks of members and of queries. Equal similarities are
 ordered by id. A vector alone in its cells has fewer than ``k`` rows, or none.
 """
 
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provisio.runtime import cut, over_salts, with_salt
+from provisio.runtime import broadcast_if_small, cut, over_salts, with_salt
 
 CODEWORDS = 16
 SUB = 2
@@ -66,10 +71,11 @@ def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str, time_col: str
     return unit.groupBy("_id").agg(F.max_by("_v", F.struct("_at", F.xxhash64("_v"))).alias("_v"))
 
 
-def _kmeans(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+def _kmeans(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator, unit: bool = True) -> np.ndarray:
     c = x[rng.choice(len(x), n, replace=False)].copy()
     for _ in range(rounds):
-        who = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+        half = 0 if unit else (c**2).sum(1) / 2
+        who = np.concatenate([(x[i : i + 4096] @ c.T - half).argmax(axis=1) for i in range(0, len(x), 4096)])
         count = np.bincount(who, minlength=n)
         order = np.argsort(who, kind="stable")
         full = np.flatnonzero(count)
@@ -77,7 +83,10 @@ def _kmeans(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.
         c[full] = sums
         empty = np.flatnonzero(count == 0)
         c[empty] = x[rng.choice(len(x), len(empty))]
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        if unit:
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        else:
+            c[full] /= count[full, None]
     return c
 
 
@@ -111,14 +120,56 @@ def _codes(x: np.ndarray, y: np.ndarray, books: np.ndarray, eta: float, sweeps:
     return codes
 
 
-def fit(sample: np.ndarray, cells: int, eta: float, seed: int = 7, book_rows: int = 6_000) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids from unit vectors, and codebooks from at most ``book_rows`` of them."""
+class Cells:
+    """Centres of the cells: every centroid plus every one of the further ones; cell number is centroid * further + number of the further one."""
+
+    def __init__(self, sample: np.ndarray, total: int, cell_rows: int, region_rows: int, rng: np.random.Generator):
+        wanted = max(1, total // cell_rows)
+        self.coarse = _kmeans(sample, min(wanted, max(1, len(sample) // 8)), 12, rng).astype(np.float32)
+        n = len(self.coarse)
+        more = min(-(-wanted // n), max(1, len(sample) // 8))
+        self.fine = np.zeros((1, sample.shape[1]), np.float32)
+        if more > 1:
+            left = sample - self.coarse[np.concatenate([(sample[i : i + 4096] @ self.coarse.T).argmax(1) for i in range(0, len(sample), 4096)])]
+            self.fine = _kmeans(left, more, 12, rng, unit=False).astype(np.float32)
+        self.half = (self.fine**2).sum(1) / 2 + self.coarse @ self.fine.T  # of the squared lengths, as far as they differ
+        # regions: neighbouring centroids, or parts of one
+        regions = -(-total // region_rows)
+        if regions <= n:
+            centre = _kmeans(self.coarse, max(1, regions), 12, rng)
+            self.region = np.repeat((self.coarse @ centre.T).argmax(1), len(self.fine)).astype(np.int32)
+        else:
+            parts = min(-(-regions // n), len(self.fine))
+            self.region = np.arange(n * len(self.fine), dtype=np.int32) // -(-len(self.fine) // parts)
+
+    def __len__(self) -> int:
+        return len(self.region)
+
+    def centre(self, cell: np.ndarray) -> np.ndarray:
+        return self.coarse[cell // len(self.fine)] + self.fine[cell % len(self.fine)]
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` nearest cells of each row, the nearest first."""
+        score, f = x @ self.coarse.T, len(self.fine)
+        if f > 1:  # all further ones of the nearest centroids
+            some = min(len(self.coarse), -(-4 * probes // f) + 8)
+            near = np.argpartition(-score, some - 1, axis=1)[:, :some]
+            score = np.take_along_axis(score, near, 1)[:, :, None] + (x @ self.fine.T)[:, None] - self.half[near]
+            cells = (near[:, :, None] * f + np.arange(f)).reshape(len(x), -1)
+            score = score.reshape(len(x), -1)
+        else:
+            cells = np.broadcast_to(np.arange(len(self.coarse)), score.shape)
+        best = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1), 1)
+        return np.take_along_axis(cells, best, 1)
+
+
+def fit(sample: np.ndarray, total: int, cell_rows: int, region_rows: int, eta: float, seed: int = 7, book_rows: int = 6_000) -> tuple[Cells, np.ndarray]:
+    """Cells from unit vectors, and codebooks from at most ``book_rows`` of them."""
     rng = np.random.default_rng(seed)
-    cells = max(1, min(cells, len(sample)))
-    cent = _kmeans(sample, cells, 12, rng)
+    cells = Cells(sample, total, cell_rows, region_rows, rng)
     sample = sample[rng.permutation(len(sample))[:book_rows]]
-    home = np.concatenate([(sample[i : i + 4096] @ cent.T).argmax(1) for i in range(0, len(sample), 4096)])
-    y = sample - cent[home]
+    y = sample - np.concatenate([cells.centre(cells.nearest(sample[i : i + 1024], 1)[:, 0]) for i in range(0, len(sample), 1024)])
     n, d = sample.shape
     m = d // SUB
     ys, xs = y.reshape(n, m, SUB), sample.reshape(n, m, SUB)
@@ -138,7 +189,7 @@ def fit(sample: np.ndarray, cells: int, eta: float, seed: int = 7, book_rows: in
                 if own.any():
                     left = own.sum() * np.eye(SUB) + weight * outer[own].sum(0)
                     books[s, c] = np.linalg.solve(left, right[own].sum(0))
-    return cent.astype(np.float32), books
+    return cells, books
 
 
 def probed(cells: int, least: int) -> int:
@@ -146,20 +197,32 @@ def probed(cells: int, least: int) -> int:
     return min(cells, max(least, round(cells ** (2 / 3) / 2)))
 
 
-def _top(q: np.ndarray, q_key: np.ndarray, m: np.ndarray, m_key: np.ndarray, decoded: np.ndarray, k: int, rerank: int, least: float):
-    """(query row, member row, similarity) of the exact best k among the ``rerank`` best by codes."""
+def scan(q: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Estimated inner products of queries with what is left of members, from tables of the queries; two codes to a byte."""
+    n, m = len(q), len(books)
+    table = np.einsum("qsd,scd->sqc", q.reshape(n, m, SUB), books)
+    if m % 2:
+        table = np.concatenate([table, np.zeros_like(table[:1])])
+    table = (table[1::2, :, :, None] + table[0::2, :, None, :]).reshape(len(table) // 2, n, CODEWORDS * CODEWORDS)
+    out = np.zeros((n, len(codes)), np.float32)
+    for s in range(len(table)):
+        out += table[s].take(codes[:, s], axis=1)
+    return out
+
+
+def _top(q: np.ndarray, q_key: np.ndarray, m: np.ndarray, m_key: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int, least: float):
+    """(query row, member row, similarity) of the exact best k among the ``rerank`` best by codes; members in the order of their keys."""
     out = []
-    for i in range(0, len(q), 1024):
-        part = q[i : i + 1024]
-        near = part @ decoded.T
+    for i in range(0, len(q), 128):
+        part = q[i : i + 128]
         r = min(rerank, len(m))
         if r < len(m):
-            near = np.argpartition(-near, r - 1, axis=1)[:, :r]
+            near = np.argpartition(-scan(part, codes, books), r - 1, axis=1)[:, :r]
             near.sort(axis=1)
         else:
             near = np.broadcast_to(np.arange(len(m)), (len(part), len(m)))
         exact = np.einsum("qd,qrd->qr", part, m[near])
-        exact[m_key[near] == q_key[i : i + 1024, None]] = -2
+        exact[m_key[near] == q_key[i : i + 128, None]] = -2
         best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
         sim = np.take_along_axis(exact, best, 1)
         row, col = np.nonzero(sim >= max(least, -1.5))
@@ -169,14 +232,15 @@ def _top(q: np.ndarray, q_key: np.ndarray, m: np.ndarray, m_key: np.ndarray, dec
 
 def nearest(
     vectors: DataFrame, *, id_col: str, vec_col: str, time_col: str | None = None, dim: int = 64, k: int = 5, least: float = -1.0,
-    probes: int = 16, rerank: int = 32, cell_rows: int = 400, sample_rows: int = 20_000, book_rows: int = 6_000, block_rows: int = 8_192, eta: float = 4.0,
+    probes: int = 16, rerank: int = 32, cell_rows: int = 400, region_rows: int = 8_192, sample_rows: int = 20_000, book_rows: int = 6_000, block_rows: int = 65_536, eta: float = 4.0,
 ) -> DataFrame:
     """(id, neighbour, similarity, place) for the ``k`` most similar others with a cosine of at least ``least``.
 
     The sample for fitting is the ``sample_rows`` vectors of smallest id hash, of which
     ``book_rows``, a few hundred for each codeword, serve for the codebooks; every vector is
-    indexed and searched for. There is a cell for each ``cell_rows`` vectors, but at most one
-    for every 8 of the sample; ``probes`` is the least number of them that are looked in.
+    indexed and searched for. There is a cell for each ``cell_rows`` vectors and a region for each
+    ``region_rows``; ``probes`` is the least number of cells that are looked in. A region of more
+    members than twice ``region_rows``, or more queries than ``block_rows``, is worked on in blocks.
     """
     if dim % SUB:
         raise ValueError(f"dim must be a multiple of {SUB}")
@@ -190,59 +254,75 @@ def nearest(
     total = unit.count()
     rows = unit.select("_v", F.xxhash64("_id").alias("_o")).orderBy("_o").limit(sample_rows).select("_v").toArrow()
     sample = _matrix(rows.column(0).combine_chunks(), dim) if total else np.eye(1, dim, dtype=np.float32)
-    cent, books = fit(sample, min(max(1, total // cell_rows), max(1, sample_rows // 8)), eta, book_rows=book_rows)
-    model = spark.sparkContext.broadcast((cent, books))
-    probes = probed(len(cent), probes)
+    cells, books = fit(sample, total, cell_rows, region_rows, eta, book_rows=book_rows)
+    model = spark.sparkContext.broadcast((cells, books))
+    probes = probed(len(cells), probes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cent, books = model.value
-        for b in batches:
+        cells, books = model.value
+        for b in (whole.slice(a, 1024) for whole in batches for a in range(0, whole.num_rows, 1024)):
             x = _matrix(b.column(1), dim)
-            score = x @ cent.T
-            near = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
-            home = score.argmax(axis=1)
-            codes = _codes(x, x - cent[home], books, eta) if len(x) else np.zeros((0, dim // SUB), np.uint8)
+            near = cells.nearest(x, probes)
+            codes = _codes(x, x - cells.centre(near[:, 0]), books, eta)
             packed = codes if codes.shape[1] % 2 == 0 else np.pad(codes, ((0, 0), (0, 1)))
             packed = packed[:, 0::2] | packed[:, 1::2] << 4
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(home, pa.int32()), _lists(near.astype(np.int32), pa.int32()), pa.array([r.tobytes() for r in packed], pa.binary())],
-                names=["_id", "_v", "_home", "_near", "_code"],
+                [b.column(0), b.column(1), pa.array(near[:, 0], pa.int32()), pa.array(cells.region[near[:, 0]]), _by_region(near, cells.region), pa.array([r.tobytes() for r in packed], pa.binary())],
+                names=["_id", "_v", "_cell", "_region", "_near", "_code"],
             )
 
-    placed = cut(kept.select("_id", "_v").mapInArrow(assign, f"_id {kind}, _v array<float>, _home int, _near array<int>, _code binary"))
-    # one row for each cell, of which there is a bounded number
-    held = {r[0]: r[1] for r in placed.groupBy("_home").count().collect()}
-    asked = {r[0]: r[1] for r in placed.select(F.explode("_near").alias("c")).groupBy("c").count().collect()}
-    blocks = spark.createDataFrame(
-        [(c, -(-held[c] // block_rows), -(-asked.get(c, 1) // block_rows)) for c in held] or [(-1, 1, 1)], "_cell int, _mb int, _qb int"
-    )
-    members = placed.join(F.broadcast(blocks), F.col("_home") == F.col("_cell"))
-    members = members.withColumn("_m", F.pmod(F.xxhash64("_id"), "_mb")).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qb").cast("long") - 1)))
-    queries = placed.select("_id", "_v", F.explode("_near").alias("_cell")).join(F.broadcast(blocks), "_cell")
+    shape = "_cell int, _region int, _near array<struct<r:int,c:array<int>>>, _code binary"
+    placed = cut(kept.select("_id", "_v").mapInArrow(assign, f"_id {kind}, _v array<float>, {shape}"))
+    # one row for each region
+    asked = placed.select(F.explode("_near").alias("n"), "_region").groupBy(F.col("n.r").alias("_region")).agg(F.count("*").alias("_asked"))
+    sizes = placed.groupBy("_region").agg(F.count("*").alias("_held")).join(asked, "_region", "left")
+    blocks = sizes.select("_region", F.ceil(F.col("_held") / (2 * region_rows)).cast("int").alias("_mb"), F.ceil(F.coalesce("_asked", F.lit(1)) / block_rows).cast("int").alias("_qb"))
+    blocks = broadcast_if_small(cut(blocks), 1_000_000)
+    members = placed.join(blocks, "_region").withColumn("_m", F.pmod(F.xxhash64("_id"), "_mb")).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qb").cast("long") - 1)))
+    queries = placed.select("_id", "_v", F.explode("_near").alias("_n")).select("_id", "_v", F.col("_n.r").alias("_region"), F.col("_n.c").alias("_cells")).join(blocks, "_region")
     queries = queries.withColumn("_q", F.pmod(F.xxhash64("_id"), "_qb")).withColumn("_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mb").cast("long") - 1)))
-    both = members.select("_cell", "_m", "_q", "_id", "_v", "_code").unionByName(queries.select("_cell", "_m", "_q", "_id", "_v", F.lit(None).cast("binary").alias("_code")))
+    both = members.select("_region", "_m", "_q", "_id", "_v", "_code", F.array("_cell").alias("_cells")).unionByName(queries.select("_region", "_m", "_q", "_id", "_v", F.lit(None).cast("binary").alias("_code"), "_cells"))
 
     def search(table: pa.Table) -> pa.Table:
-        cent, books = model.value
+        _, books = model.value
         table = table.combine_chunks()
         is_query = table.column("_code").is_null().to_numpy()
         order = np.argsort(table.column("_id").to_numpy(zero_copy_only=False).astype(object if kind == "string" else None), kind="stable")
         x = _matrix(table.column("_v").combine_chunks(), dim)
-        mem, que = order[~is_query[order]], order[is_query[order]]
         names = ["_id", "_other", "_sim"]
         schema = pa.schema([("_id", table.schema.field("_id").type), ("_other", table.schema.field("_id").type), ("_sim", pa.float64())])
-        if not len(mem) or not len(que):
+        if is_query.all() or not is_query.any():
             return schema.empty_table()
         key = np.empty(len(x), np.int64)
         key[order] = np.cumsum(np.r_[0, _differs(table.column("_id"), order)])
-        code = np.frombuffer(b"".join(table.column("_code").take(pa.array(mem)).to_pylist()), np.uint8).reshape(len(mem), -1)
-        codes = np.stack([code & 15, code >> 4], axis=2).reshape(len(mem), -1)[:, : dim // SUB]
-        decoded = np.concatenate([books[s][codes[:, s]] for s in range(dim // SUB)], axis=1)
-        q, m, sim = _top(x[que], key[que], x[mem], key[mem], decoded, k, rerank, least)
+        # rows of each cell, members and queries apart, in the order of their ids
+        lists = table.column("_cells").combine_chunks()
+        row = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
+        cell = lists.flatten().to_numpy()
+        by_cell = np.lexsort((key[row], is_query[row], cell))
+        row, cell = row[by_cell], cell[by_cell]
+        edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        at = np.full(len(x), -1)
+        at[~is_query] = np.arange(int((~is_query).sum()))
+        code = np.frombuffer(b"".join(table.column("_code").drop_null().to_pylist()), np.uint8).reshape(int((~is_query).sum()), -1)
+        found: list[tuple[np.ndarray, ...]] = []
+        for rows in np.split(row, edge[1:]):
+            n = int((~is_query[rows]).sum())
+            mem, que = rows[:n], rows[n:]
+            if n and len(que):
+                q, m, sim = _top(x[que], key[que], x[mem], key[mem], code[at[mem]], books, k, rerank, least)
+                found.append((que[q], mem[m], sim))
+        if not found:
+            return schema.empty_table()
+        q, m, sim = (np.concatenate(v) for v in zip(*found))
+        best = np.lexsort((key[m], -sim, q))
+        q, m, sim = q[best], m[best], sim[best]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
         ids = table.column("_id")
-        return pa.table([ids.take(pa.array(que[q])), ids.take(pa.array(mem[m])), pa.array(sim, pa.float64())], names=names).cast(schema)
+        return pa.table([ids.take(pa.array(q[keep])), ids.take(pa.array(m[keep])), pa.array(sim[keep], pa.float64())], names=names).cast(schema)
 
-    hits = both.groupBy("_cell", "_m", "_q").applyInArrow(search, f"_id {kind}, _other {kind}, _sim double")
+    hits = both.groupBy("_region", "_m", "_q").applyInArrow(search, f"_id {kind}, _other {kind}, _sim double")
     best = Window.partitionBy("_id").orderBy(F.desc("_sim"), "_other")
     found = hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
     # further copies of a vector, those after the last one kept: their neighbours are its first ones
@@ -255,6 +335,19 @@ def nearest(
     return out.select(F.col("_id").alias(id_col), F.col("_other").alias("neighbour"), F.col("_sim").alias("similarity"), "place")
 
 
+def _by_region(near: np.ndarray, region: np.ndarray) -> pa.Array:
+    """For each row the regions of its cells, and the cells of each."""
+    n, p = near.shape
+    of = region[near]
+    order = np.argsort(of, axis=1, kind="stable")
+    of, cell = np.take_along_axis(of, order, 1).ravel(), np.take_along_axis(near, order, 1).ravel()
+    row = np.repeat(np.arange(n), p)
+    head = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (row[1:] != row[:-1])]) if n else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(cell)].astype(np.int32)), pa.array(cell.astype(np.int32)))
+    parts = pa.StructArray.from_arrays([pa.array(of[head].astype(np.int32)), lists], names=["r", "c"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row[head], minlength=n))].astype(np.int32)), parts)
+
+
 def _differs(ids: pa.ChunkedArray, order: np.ndarray) -> np.ndarray:
     """For neighbours in ``order``: 1 where the id changes."""
     codes = ids.combine_chunks().dictionary_encode()

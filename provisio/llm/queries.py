@@ -48,7 +48,7 @@ def p3_flows(spark: SparkSession, d: str) -> DataFrame:
 def p3_clipped(spark: SparkSession, d: str) -> DataFrame:
     """The preference grows up to a quarter of the candidates and is whole beyond."""
     flows = ranking.net_flow(_criteria(spark, d), threshold=0.25)
-    return flows.withColumn("flow", F.round("flow", 6))
+    return flows.withColumn("flow", F.round("flow", 6) + 0.0)  # no negative zero
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

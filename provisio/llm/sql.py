@@ -70,7 +70,7 @@ P3_CLIPPED = _FLOWS.replace("), flows AS (", """), ranked AS (
   JOIN (SELECT query_id, count(*) AS n FROM members GROUP BY query_id) z ON z.query_id = a.query_id
   GROUP BY a.query_id, a.chunk_id, n""", """FROM ranked a JOIN ranked b ON a.query_id = b.query_id AND a.criterion = b.criterion
   GROUP BY a.query_id, a.chunk_id, a.n""") + """
-SELECT query_id, chunk_id, round(flow, 6) AS flow FROM flows
+SELECT query_id, chunk_id, round(flow, 6) + 0.0::DOUBLE AS flow FROM flows
 """
 
 ORACLE_SQL = {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p3_flows": P3_FLOWS, "p3_clipped": P3_CLIPPED}

@@ -23,7 +23,7 @@ def test_recall_on_clustered_vectors(spark):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     ids = [f"v{i:05d}" for i in range(3000)]
     got = {}
-    for r in knn.nearest(frame(spark, [(i, 3 * v, 0) for i, v in zip(ids, x)]), id_col="chunk_id", vec_col="embedding", dim=16, k=5, cell_rows=60, probes=8, rerank=32, block_rows=100).collect():
+    for r in knn.nearest(frame(spark, [(i, 3 * v, 0) for i, v in zip(ids, x)]), id_col="chunk_id", vec_col="embedding", dim=16, k=5, cell_rows=60, region_rows=400, probes=8, rerank=32, block_rows=1000).collect():
         got.setdefault(r.chunk_id, {})[r.place] = r.neighbour
     want = exact(ids, x, 5)
     assert all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values()) and len(got) == 3000
@@ -37,7 +37,7 @@ def test_recall_with_many_cells(spark):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     ids = [f"v{i:05d}" for i in range(n)]
     got = {}
-    for r in knn.nearest(frame(spark, [(i, v, 0) for i, v in zip(ids, x)]), id_col="chunk_id", vec_col="embedding", dim=32, k=5, cell_rows=4).collect():
+    for r in knn.nearest(frame(spark, [(i, v, 0) for i, v in zip(ids, x)]), id_col="chunk_id", vec_col="embedding", dim=32, k=5, cell_rows=4, region_rows=100).collect():
         got.setdefault(r.chunk_id, set()).add(r.neighbour)
     want = exact(ids, x, 5)
     assert sum(len(got[i] & set(want[i])) for i in ids) / (5 * n) >= 0.95
@@ -74,8 +74,9 @@ def test_codes_lower_the_score_aware_loss():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    cent, books = knn.fit(x, 4, 4.0)
-    y = x - cent[(x @ cent.T).argmax(1)]
+    cells, books = knn.fit(x, 600, 150, 10_000, 4.0)
+    assert len(cells) == 4
+    y = x - cells.centre(cells.nearest(x, 1)[:, 0])
 
     def loss(codes):
         e = y - np.concatenate([books[s][codes[:, s]] for s in range(4)], axis=1)
@@ -94,3 +95,25 @@ def test_rows_for_codebooks(spark, monkeypatch):
         seen.clear()
         knn.nearest(df, id_col="chunk_id", vec_col="embedding", dim=4, cell_rows=50, book_rows=rows)
         assert set(seen) == {rows}
+
+
+def test_cells_are_divided_beyond_the_sample():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(800, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = knn.Cells(x, 40_000, 100, 1_000, rng)  # 100 centroids from the sample, 4 parts of each
+    assert len(cells) == 400 and len(cells.fine) == 4 and cells.region.max() + 1 == 40
+    every = np.stack([cells.centre(np.full(1, c))[0] for c in range(len(cells))])
+    want = ((x[:, None] - every[None]) ** 2).sum(-1).argmin(1)
+    assert (cells.nearest(x, 20)[:, 0] == want).mean() > 0.97
+    assert knn.Cells(x, 4_000_000, 1_000, 10_000, rng).region.max() + 1 == 400  # parts of a centroid's cells
+
+
+def test_table_scan_is_the_product_with_decoded_codes():
+    rng = np.random.default_rng(3)
+    for m in (3, 4):
+        books, q = rng.normal(size=(m, 16, 2)).astype(np.float32), rng.normal(size=(10, 2 * m)).astype(np.float32)
+        codes = rng.integers(0, 16, (50, m)).astype(np.uint8)
+        packed = codes if m % 2 == 0 else np.pad(codes, ((0, 0), (0, 1)))
+        decoded = np.concatenate([books[s][codes[:, s]] for s in range(m)], axis=1)
+        assert np.allclose(knn.scan(q, packed[:, 0::2] | packed[:, 1::2] << 4, books), q @ decoded.T, atol=1e-4)
