@@ -29,7 +29,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
-    rows = site_lines.without_repeated_lines(table(spark, d, "chunks", spread=True), min_docs=12)
+    """Lines in at least 12 chunks and one in a hundred of their site taken out."""
+    rows = site_lines.without_repeated_lines(table(spark, d, "chunks", spread=True), min_docs=12, min_share=0.01)
     return rows.select("chunk_id", "ingested_at", "clean_text", "lines_removed")
 
 

@@ -5,7 +5,7 @@ _KEY = r"""replace(regexp_replace(lower(line), '[^\p{L}]+', '', 'g'), 'ς', 'σ'
 
 _LINES = rf"""
 WITH raw AS (
-  SELECT chunk_id, {_SITE} AS site, string_split(text, chr(10)) AS parts FROM chunks WHERE text IS NOT NULL
+  SELECT chunk_id, {_SITE} AS site, string_split(text, chr(10)) AS parts FROM chunks
 ), lines AS (
   SELECT DISTINCT chunk_id, site, n AS line_no, {_KEY} AS k
   FROM (SELECT chunk_id, site, unnest(range(1, len(parts) + 1)) AS n, unnest(parts) AS line FROM raw)
@@ -19,7 +19,9 @@ WITH raw AS (
 
 P2_FOUND = _LINES + "SELECT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM hits"
 
-P2_CLEAN = _LINES + """
+P2_CLEAN = _LINES.replace("), hits AS (", """), sites AS (
+  SELECT site, count(DISTINCT chunk_id) AS held FROM raw WHERE site IS NOT NULL GROUP BY site
+), hits AS (""").replace("SELECT site, k FROM lines WHERE length(k) >= 12 GROUP BY site, k HAVING count(DISTINCT chunk_id) >= 12", "SELECT site, k FROM lines JOIN sites USING (site) WHERE length(k) >= 12 GROUP BY site, k, held HAVING count(DISTINCT chunk_id) >= greatest(12, 0.01 * held)") + """
 , drops AS (SELECT chunk_id, list(line_no) AS d FROM hits GROUP BY chunk_id)
 SELECT c.chunk_id, c.ingested_at,
   CASE WHEN d IS NULL THEN text
