@@ -9,8 +9,8 @@ two-dimensional subspace (four bits). Codes and codebooks are fitted to the scor
 ``|e|^2 + (eta - 1) <e, x>^2``, which punishes the part of the error e along the vector x, as
 that part is what changes the inner products that matter.
 
-For a query, its inner products with all codewords are tables; the entries that a member's codes
-point to, two codes to a byte, add up to the estimated score. The best ``rerank`` members of each cell are
+For a query, its inner products with all codewords are tables of 16 entries; those that a
+member's codes point to add up to the estimated score. The best ``rerank`` members of each cell are
 compared exactly, and the best ``k`` over all probed cells come out.
 
 Cells that lie together are one region, the unit of the shuffle: a vector goes there once for all
@@ -198,16 +198,13 @@ def probed(cells: int, least: int) -> int:
 
 
 def scan(q: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Estimated inner products of queries with what is left of members, from tables of the queries; two codes to a byte."""
+    """Estimated inner products of queries with what is left of members: for each subspace, the entries of a table of 16 that the codes point to."""
     n, m = len(q), len(books)
-    table = np.einsum("qsd,scd->sqc", q.reshape(n, m, SUB), books)
-    if m % 2:
-        table = np.concatenate([table, np.zeros_like(table[:1])])
-    table = (table[1::2, :, :, None] + table[0::2, :, None, :]).reshape(len(table) // 2, n, CODEWORDS * CODEWORDS)
-    out = np.zeros((n, len(codes)), np.float32)
-    for s in range(len(table)):
-        out += table[s].take(codes[:, s], axis=1)
-    return out
+    table = np.matmul(books, q.reshape(n, m, SUB).transpose(1, 2, 0))  # subspace, codeword, query
+    out, entries = np.zeros((len(codes), n), np.float32), np.empty((len(codes), n), np.float32)
+    for s in range(m):
+        out += np.take(table[s], codes[:, s], axis=0, out=entries, mode="clip")
+    return out.T
 
 
 def _top(q: np.ndarray, q_key: np.ndarray, m: np.ndarray, m_key: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int, least: float):
@@ -305,6 +302,7 @@ def nearest(
         at = np.full(len(x), -1)
         at[~is_query] = np.arange(int((~is_query).sum()))
         code = np.frombuffer(b"".join(table.column("_code").drop_null().to_pylist()), np.uint8).reshape(int((~is_query).sum()), -1)
+        code = np.stack([code & 15, code >> 4], axis=2).reshape(len(code), -1).astype(np.intp)
         found: list[tuple[np.ndarray, ...]] = []
         for rows in np.split(row, edge[1:]):
             n = int((~is_query[rows]).sum())
