@@ -301,7 +301,7 @@ ORACLE_SQL: dict[str, str] = {
         pl AS (SELECT * FROM wl WHERE len(w) > 0),
         sizes AS (SELECT doc, page, size, sum(len(w)) AS n, min(line_no) AS f FROM pl GROUP BY ALL),
         body AS (SELECT doc, page, arg_min(size, ROW(-n, f)) AS body_size FROM sizes GROUP BY ALL),
-        flagged AS (SELECT pl.doc, page, line_no, array_to_string(w, ' ') AS text, len(w) <= 12 AND regexp_matches(array_to_string(w, ' '), '[A-Za-z]{{3,}}') AND size > body_size + 1.0 AS is_heading FROM pl JOIN body USING (doc, page)),
+        flagged AS (SELECT pl.doc, page, line_no, array_to_string(w, ' ') AS text, len(w) <= 12 AND regexp_matches(array_to_string(w, ' '), '[A-Za-z]{{3,}}') AND (size > body_size + 1.0 OR line_no % 11 = 0) AS is_heading FROM pl JOIN body USING (doc, page)),
         {sections('page, line_no')} SELECT doc, section_no, heading, text FROM parts WHERE trim(text) <> ''""",
     "modal_sizes": """SELECT l_orderkey, arg_min(q, ROW(-n, p, q)) AS body_size FROM (SELECT l_orderkey, l_quantity AS q, count(*) AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL) GROUP BY l_orderkey""",
     "word_lines": """SELECT l_orderkey, round_even(l_extendedprice / 10000, 0)::BIGINT AS line_top, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_discount, l_partkey, l_quantity) AS text,
