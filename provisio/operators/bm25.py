@@ -41,6 +41,12 @@ def build(corpus: DataFrame) -> Index:
     return Index(docs, raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf")), stats)
 
 
+def postings(index: Index) -> DataFrame:
+    """(term, chunk_id, tf, dl): how often each term stands in each document."""
+    held = index.docs.select("chunk_id", "dl", F.explode("words").alias("term"))
+    return held.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
+
+
 def top_k(index: Index, questions: DataFrame, k: int, *, question_block: int = 1024) -> DataFrame:
     """(query_id, chunk_id, score, rank, retriever): the best ``k`` of the whole corpus for each question.
 

@@ -254,6 +254,11 @@ def term_stats(spark: SparkSession, d: str) -> DataFrame:
     return bm25.build(corpus(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query
+def term_postings(spark: SparkSession, d: str) -> DataFrame:
+    return bm25.postings(bm25.build(corpus(spark, d))).withColumn("dl", F.col("dl").cast("long"))
+
+
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bm25.top_k(bm25.build(corpus(spark, d)), questions(spark, d), 20))

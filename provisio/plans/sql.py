@@ -310,6 +310,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM corpus WHERE text IS NOT NULL AND regexp_replace(text, '[\s]+', '', 'g') <> ''""",
     "tokenize_stopwords": f"WITH {CORPUS} SELECT chunk_id, len({words('text')}) AS dl, array_to_string({words('citation')}, ' ') AS words FROM corpus",
     "term_stats": f"""WITH {CORPUS}, asked AS (SELECT id AS query_id, question FROM golden_set), {bm25('asked', 1).strip()} SELECT term, df, round(idf, 6) AS idf FROM terms""",
+    "term_postings": f"""WITH {CORPUS}, asked AS (SELECT id AS query_id, question FROM golden_set), {bm25('asked', 1).strip()} SELECT term, chunk_id, tf, dl FROM postings""",
     "bm25_topk": f"""WITH {CORPUS}, asked AS (SELECT id AS query_id, question FROM golden_set), {bm25('asked', 20).strip()}
         SELECT query_id, chunk_id, round(score, 6) AS score, rank, retriever FROM sparse""",
     "dense_cosine_topk": """SELECT query_id, vec_id, round(score, 5) AS score, rank::INTEGER AS rank, 'dense' AS retriever FROM (
