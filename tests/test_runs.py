@@ -1,4 +1,5 @@
 import os
+import sys
 
 import pytest
 
@@ -77,3 +78,11 @@ def test_a_run_stopped_at_once_has_no_summary(spark, sf, tmp_path):
         pytest.skip("no tables here")
     got = evaluate.run(spark, sf, str(tmp_path / "out"), "bm25_only", limit=5, generator=failing(str(tmp_path / "n"), 0, evaluate.RateLimited))
     assert got.count() == 0
+
+
+def test_command_line(spark, tables, tmp_path, monkeypatch):
+    out = str(tmp_path / "runs")
+    monkeypatch.setattr(sys, "argv", ["evaluate", "--data", tables, "--out", out, "--config", "hybrid", "--limit", "2", "--retrieval-only"])
+    evaluate.main()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 2 and {r.config for r in rows} == {"hybrid"} and all(r.retrieval_only for r in rows)
