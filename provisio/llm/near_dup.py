@@ -6,7 +6,7 @@ parts, as the shared and all shingles of the parts sum up to those of the sets.
 runs part by part, and what any part finds is checked on the whole texts.
 
 The shingles of a part are ordered from rare to frequent, by counts over all texts in a table of
-fixed size. Of a part of k shingles that needs an overlap of o, a similar part holds one of the
+fixed size: with very many texts, only those that stand out from the mean count as frequent. Of a part of k shingles that needs an overlap of o, a similar part holds one of the
 first k - o + 1, and m of the first k - o + m. So a text goes to the cells of its first k - o + 1
 shingles, the rare ones; a frequent one is hardly ever among them. For what it meets there it
 picks its m from the estimated cost, the occurrences of its prefix's shingles in all texts: the
@@ -148,7 +148,8 @@ def route(key: np.ndarray, group: list, texts: list[str], size: int, num: int, d
     entry = np.flatnonzero(at < np.repeat(count - enough + 1, count))
     owner = np.repeat(np.arange(len(first)), count)[entry]
     cell = ((spread[entry] >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
-    blocks = -(-times[entry] // hot_rows)
+    # what falls on every place of the table is no sign of a frequent shingle
+    blocks = -(-(times[entry] - (int(often.sum()) >> TABLE_BITS)) // hot_rows)
     hot = np.flatnonzero(blocks > 1)
     if len(hot):  # once for each other block
         n = blocks[hot]
